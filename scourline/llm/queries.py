@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scourline.llm import simhash
+from scourline.llm import decontam, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,3 +27,76 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id for every document."""
     found = simhash.components(simhash.fingerprints(table(spark, sf_dir, "documents")))
     return found.select("doc_id", simhash.hexed(found.fp).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decontam.covered()
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+ORACLE_SQL["op10_decontaminate"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+g AS (
+  SELECT DISTINCT item, list_slice(w, i, i + 9) AS gram
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(gram) AS n FROM g),
+p AS (
+  SELECT r, n, i, list_slice(w, i, i + n - 1) AS gram
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT p.r, p.n, p.i, g.item FROM p JOIN g ON p.gram = g.gram),
+c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM h) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+"""
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts of base spans, their digest and all spans for every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.findings(secrets.ledger_of(docs))
+    kinds = ", ".join(f"'{r.kind}'" for r in secrets.BASE)
+    found = found.select("blob", "spans", F.expr(f"filter(spans, s -> s.kind in ({kinds}))").alias("base"))
+    every = secrets.paths_with_findings(docs, ["doc_id"], found)
+    counts = [F.expr(f"size(filter(coalesce(base, array()), s -> s.kind = '{r.kind}'))").cast("bigint").alias(f"n_{r.kind}") for r in secrets.BASE]
+    return every.select("doc_id", *counts, F.sha2(secrets.joined_spans("base"), 256).alias("base_sha256"), secrets.joined_spans("spans").alias("spans"))
+
+
+def _spans_sql(nth: int, rule: secrets.Rule) -> str:
+    p = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT r, {nth} AS nth, '{rule.kind}' AS kind, starts AS s, starts + len(m[i]) AS e
+  FROM (SELECT r, m, g, i, list_sum(list_transform(list_slice(p, 1, i), lambda x: len(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: len(x))), 0) AS starts
+        FROM (SELECT r, m, g, p, unnest(range(1, len(m) + 1)) AS i
+              FROM (SELECT r, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {rule.group}) AS g, regexp_split_to_array(t, '{p}') AS p FROM d)))
+  WHERE len(g[i]) >= {rule.least}"""
+
+
+ORACLE_SQL["op5_secret_scan"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(_spans_sql(i, r) for i, r in enumerate(secrets.RULES))}),
+o AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(concat_ws(':', kind, CAST(s AS BIGINT), CAST(e AS BIGINT)), ',' ORDER BY s, nth) FILTER (nth < {len(secrets.BASE)}) AS base,
+         string_agg(concat_ws(':', kind, CAST(s AS BIGINT), CAST(e AS BIGINT)), ',' ORDER BY s, nth) AS spans
+  FROM f GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (r)
+"""
