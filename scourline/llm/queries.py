@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scourline.llm import bpe, decontam, secrets, simhash
+from scourline.llm import bpe, decontam, langid, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,3 +108,23 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every document."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    docs = table(spark, sf_dir, "documents")
+    learn = toxicity.bucket(F.col("id"), 3) != 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=learn)
+    held_out = F.coalesce(toxicity.bucket(F.col("doc_id"), 3) == 1, F.lit(False))
+    return toxicity.scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every document."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = langid.train(docs.where(fold != 2))
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
