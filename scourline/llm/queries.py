@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scourline.llm import bpe, decontam, langid, secrets, simhash, toxicity
+from scourline.llm import bpe, decontam, langid, orderminhash, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -128,3 +128,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(fold != 2))
     held_out = F.coalesce(fold == 2, F.lit(False))
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likenesses."""
+    return orderminhash.with_following(table(spark, sf_dir, "documents"))
