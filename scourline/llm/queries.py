@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scourline.llm import bpe, decontam, langid, orderminhash, secrets, simhash, toxicity
+from scourline.llm import bpe, decontam, density, langid, orderminhash, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -134,3 +134,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likenesses."""
     return orderminhash.with_following(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars for every page."""
+    return density.main_text(table(spark, sf_dir, "pages"))
