@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scourline.llm import bpe, decontam, density, langid, orderminhash, secrets, simhash, toxicity
+from scourline.plans.scratch import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,7 +72,7 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts of base spans, their digest and all spans for every document."""
     docs = table(spark, sf_dir, "documents")
-    found = secrets.findings(secrets.ledger_of(docs))
+    found = keep(secrets.findings(secrets.ledger_of(docs)), "findings")
     kinds = ", ".join(f"'{r.kind}'" for r in secrets.BASE)
     found = found.select("blob", "spans", F.expr(f"filter(spans, s -> s.kind in ({kinds}))").alias("base"))
     every = secrets.paths_with_findings(docs, ["doc_id"], found)
