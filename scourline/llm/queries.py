@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scourline.llm import bpe, decontam, density, langid, orderminhash, secrets, simhash, toxicity
+from scourline.llm import bpe, decontam, density, langid, merkle, orderminhash, secrets, simhash, toxicity
 from scourline.plans.scratch import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,42 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     return density.main_text(table(spark, sf_dir, "pages"))
+
+
+def _warc(pages: DataFrame, rotten: bool) -> DataFrame:
+    """The pages as records of WARC files of a thousand page ids each; in the rotten replica some have a wrong byte."""
+    block = merkle.record_block(F.col("url"), F.col("html"))
+    if rotten:
+        n = F.length(block)
+        wrong = F.concat(F.substring(block, 1, n - 5), F.lit("#"), F.substring(block, n - 3, F.lit(4)))
+        block = F.when(F.col("page_id") % 97 == 13, wrong).otherwise(block)
+    file = F.concat(F.lit("warc-"), F.floor(F.col("page_id") / 1000).cast("string"))
+    return merkle.records(pages, file, F.col("page_id"), block)
+
+
+@query
+def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records in which a replica of the pages' archive, with a wrong byte in every page of 97, differs."""
+    pages = table(spark, sf_dir, "pages")
+    return merkle.audit(_warc(pages, False), _warc(pages, True)).withColumnRenamed("file", "warc_file")
+
+
+ORACLE_SQL["op4_merkle_audit"] = r"""
+WITH p AS (
+  SELECT page_id, 'warc-' || CAST(page_id // 1000 AS VARCHAR) AS f, coalesce(html, '') AS h, coalesce(url, '') AS u FROM pages),
+r AS (
+  SELECT page_id, f, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10)
+         || 'WARC-Payload-Digest: sha256:' || sha256(h) || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+         || 'Content-Length: ' || CAST(strlen(h) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || h || chr(13) || chr(10) || chr(13) || chr(10) AS block
+  FROM p),
+s AS (
+  SELECT page_id, f, block AS x,
+         CASE WHEN page_id % 97 = 13 THEN substr(block, 1, length(block) - 5) || '#' || substr(block, length(block) - 3, 4) ELSE block END AS y
+  FROM r),
+a AS (SELECT f, page_id, row_number() OVER w - 1 AS nth, sum(strlen(x)) OVER w AS stop, strlen(x) AS size, sha256(x) AS d FROM s WINDOW w AS (PARTITION BY f ORDER BY page_id, sha256(x) ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT f, page_id, row_number() OVER w - 1 AS nth, sum(strlen(y)) OVER w AS stop, strlen(y) AS size, sha256(y) AS d FROM s WINDOW w AS (PARTITION BY f ORDER BY page_id, sha256(y) ROWS UNBOUNDED PRECEDING))
+SELECT a.f AS warc_file, CAST(a.nth AS BIGINT) AS nth, a.page_id AS key_a, b.page_id AS key_b, CAST(a.stop - a.size AS BIGINT) AS start_a, CAST(a.stop AS BIGINT) AS end_a,
+       CAST(b.stop - b.size AS BIGINT) AS start_b, CAST(b.stop AS BIGINT) AS end_b, 'changed' AS fault
+FROM a JOIN b ON a.f = b.f AND a.nth = b.nth
+WHERE a.d <> b.d OR a.stop <> b.stop OR a.size <> b.size
+"""
