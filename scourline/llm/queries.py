@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scourline.llm import bpe, decontam, density, langid, merkle, orderminhash, secrets, simhash, toxicity
+from scourline.llm import bpe, decontam, density, langid, licenses, merkle, orderminhash, secrets, simhash, toxicity
 from scourline.plans.scratch import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,10 @@ SELECT a.f AS warc_file, CAST(a.nth AS BIGINT) AS nth, a.page_id AS key_a, b.pag
 FROM a JOIN b ON a.f = b.f AND a.nth = b.nth
 WHERE a.d <> b.d OR a.stop <> b.stop OR a.size <> b.size
 """
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_paragraphs, n_licence, families, score for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
