@@ -234,7 +234,9 @@ def codec(ranks: bytes, pattern: str) -> Codec:
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """(``id_col``, n_tokens, ids), or with ``digests`` (``id_col``, n_tokens, ids_sha256, decoded_sha256).
+    """(``id_col``, n_tokens, ids, round_trip), or with ``digests`` (``id_col``, n_tokens, ids_sha256, decoded_sha256).
+
+    round_trip says that the decoded ids are the text's bytes.
 
     The rank file is read on the driver and shipped as a broadcast variable: its size is that of the vocabulary.
     """
@@ -259,15 +261,16 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 else:
                     flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                     offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]), pa.int32())
-                    more = [pa.ListArray.from_arrays(offsets, flat)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), n, *more], ["id", "n_tokens", "x", "y"][: 2 + len(more)])
+                    same = [own.decode(x) == t.encode() for x, t in zip(ids, texts)]
+                    more = [pa.ListArray.from_arrays(offsets, flat), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), n, *more], ["id", "n_tokens", "x", "y"])
                 start = stop
 
     few = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     if digests:
         out = few.mapInArrow(run, "id bigint, n_tokens bigint, x string, y string").toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
     else:
-        out = few.mapInArrow(run, "id bigint, n_tokens bigint, x array<int>").toDF(id_col, "n_tokens", "ids")
+        out = few.mapInArrow(run, "id bigint, n_tokens bigint, x array<int>, y boolean").toDF(id_col, "n_tokens", "ids", "round_trip")
     return out
 
 

@@ -82,7 +82,8 @@ def remove(docs: DataFrame, items: DataFrame, what: str = "documents", id_col: s
     """
     if what not in ("documents", "spans"):
         raise ValueError(f"what: {what!r}")
-    hit = contamination(docs, items, id_col, text_col, **options).where("size(spans) > 0").select(F.col("id").alias("hit_id_"), F.col("mark").alias("hit_mark_"), F.col("spans").alias("hit_spans_"))
+    hit = contamination(docs, items, id_col, text_col, **options).where("size(spans) > 0")
+    hit = keep(hit.select(F.col("id").alias("hit_id_"), F.col("mark").alias("hit_mark_"), F.col("spans").alias("hit_spans_")), "hits")
     same = docs[id_col].eqNullSafe(F.col("hit_id_")) & (F.xxhash64(docs[text_col]) == F.col("hit_mark_"))
     if what == "documents":
         return docs.join(hit, same, "left_anti")

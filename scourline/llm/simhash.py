@@ -197,3 +197,16 @@ def components(fps: DataFrame, id_col: str = "doc_id", most: int = 3, crowd: int
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = keep(named.join(least, "root").select("fp", "component_id"), "component")
     return fps.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3, crowd: int = CROWD) -> DataFrame:
+    """``docs`` with the least id of each component only; the columns stay.
+
+    Rows that repeat an id and its text stay once. Rows without an id stay: nothing can name them.
+    """
+    found = components(fingerprints(docs, id_col, text_col), id_col, most, crowd)
+    first = keep(found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("scourline_id")).count(), "representatives")
+    kept = docs.join(first, docs[id_col].cast("bigint") == F.col("scourline_id"), "left_semi")
+    if not first.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, text_col])
+    return kept.union(docs.where(docs[id_col].isNull()))
