@@ -44,6 +44,13 @@ def _each(columns: list[str], make) -> list[Column]:
     return [v.alias(f"{i}_{k}") for i, c in enumerate(columns) for k, v in make(_col(c)).items()]
 
 
+def _measured(df: DataFrame, columns: list[str], make, fields: dict[str, str]) -> DataFrame:
+    """One row per column from one aggregate; no row without columns."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], ", ".join(["column string", *(f"{k} {t}" for k, t in fields.items())]))
+    return _long(df.agg(*_each(columns, make)), columns, fields)
+
+
 def overview(df: DataFrame) -> DataFrame:
     """rows, columns, cells."""
     n = len(df.columns)
@@ -56,22 +63,23 @@ def dtypes(df: DataFrame) -> dict[str, str]:
 
 def null_counts(df: DataFrame) -> DataFrame:
     """column, n_rows, null_count, null_percentage; every column of the table."""
-    agg = df.agg(*_each(df.columns, lambda c: {"n_rows": F.count(F.lit(1)), "null_count": F.count_if(c.isNull())}))
-    out = _long(agg, df.columns, {"n_rows": "bigint", "null_count": "bigint"})
+    out = _measured(df, df.columns, lambda c: {"n_rows": F.count(F.lit(1)), "null_count": F.count_if(c.isNull())}, {"n_rows": "bigint", "null_count": "bigint"})
     return out.withColumn("null_percentage", F.when(F.col("n_rows") > 0, F.col("null_count") * 100.0 / F.col("n_rows")).otherwise(0.0))
 
 
 def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, value (as text), n: each distinct value, nulls included."""
-    columns = columns or df.columns
+    columns = df.columns if columns is None else columns
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
     parts = [df.groupBy(_col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("column"), F.col("v").cast("string").alias("value"), "n") for c in columns]
     return reduce(DataFrame.union, parts)
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """column, n_unique (null is a value), max_count of one value, n_rows."""
-    columns = columns or df.columns
-    if approximate:
+    columns = df.columns if columns is None else columns
+    if approximate and columns:
         agg = df.agg(*_each(columns, lambda c: {"n_unique": F.approx_count_distinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0))}))
         return _long(agg, columns, {"n_unique": "bigint"})
     f = frequencies(df, columns)
@@ -96,7 +104,7 @@ def quantiles(df: DataFrame, columns: list[str], interpolation: str = "linear",
         make = lambda c: {"q": F.percentile(c.cast("double"), points)}
     else:
         raise ValueError(f"interpolation: {interpolation!r}")
-    out = _long(df.agg(*_each(columns, make)), columns, {"q": "array<double>"})
+    out = _measured(df, columns, make, {"q": "array<double>"})
     return out.select("column", *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("q25", "median", "q75"))])
 
 
@@ -104,8 +112,8 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, approximate
     """column, n, min, max, mean, std (0 for a single value), q25, median, q75, integer_like. All null: nulls."""
     columns = numeric_columns(df) if columns is None else columns
     d = lambda c: c.cast("double")
-    agg = df.agg(*_each(columns, lambda c: {"n": F.count(c), "min": F.min(d(c)), "max": F.max(d(c)), "mean": F.avg(d(c)), "std": F.coalesce(F.stddev_samp(d(c)), F.when(F.count(c) > 0, 0.0)), "integer_like": F.bool_and(d(c) == F.floor(d(c)))}))
-    out = _long(agg, columns, {"n": "bigint", "min": "double", "max": "double", "mean": "double", "std": "double", "integer_like": "boolean"})
+    make = lambda c: {"n": F.count(c), "min": F.min(d(c)), "max": F.max(d(c)), "mean": F.avg(d(c)), "std": F.coalesce(F.stddev_samp(d(c)), F.when(F.count(c) > 0, 0.0)), "integer_like": F.bool_and(d(c) == F.floor(d(c)))}
+    out = _measured(df, columns, make, {"n": "bigint", "min": "double", "max": "double", "mean": "double", "std": "double", "integer_like": "boolean"})
     return out.join(quantiles(df, columns, approximate=approximate), "column")
 
 
@@ -139,7 +147,7 @@ def text_profile(df: DataFrame, columns: list[str] | None = None, median: bool =
     n = lambda c: F.char_length(c).cast("bigint")
     make = lambda c: {"n": F.count(c), "min_length": F.min(n(c)), "max_length": F.max(n(c)), "avg_length": F.avg(n(c))} | ({"median_length": F.median(n(c))} if median else {})
     fields = {"n": "bigint", "min_length": "bigint", "max_length": "bigint", "avg_length": "double"} | ({"median_length": "double"} if median else {})
-    return _long(df.agg(*_each(columns, make)), columns, fields)
+    return _measured(df, columns, make, fields)
 
 
 PATTERNS = {
@@ -159,24 +167,22 @@ def text_patterns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column and the percentage of non-null values of each of nine shapes, over all values."""
     columns = text_columns(df) if columns is None else columns
     share = lambda c, test: F.coalesce(F.count_if(test(c)) * 100.0 / F.nullif(F.count(c), F.lit(0)), F.lit(0.0))
-    agg = df.agg(*_each(columns, lambda c: {k: share(c, t) for k, t in PATTERNS.items()}))
-    return _long(agg, columns, dict.fromkeys(PATTERNS, "double"))
+    return _measured(df, columns, lambda c: {k: share(c, t) for k, t in PATTERNS.items()}, dict.fromkeys(PATTERNS, "double"))
 
 
 def case_histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, case_class, n: the first case that holds for each non-null value; all five classes are listed."""
     columns = text_columns(df) if columns is None else columns
     names = [k for k, _ in X.CASES] + ["other"]
-    agg = df.agg(*_each(columns, lambda c: {k: F.count_if(c.isNotNull() & (X.case_class(c) == k)) for k in names}))
-    wide = _long(agg, columns, dict.fromkeys(names, "bigint"))
+    wide = _measured(df, columns, lambda c: {k: F.count_if(c.isNotNull() & (X.case_class(c) == k)) for k in names}, dict.fromkeys(names, "bigint"))
     return wide.unpivot("column", names, "case_class", "n")
 
 
 def boolean_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, true_count, false_count, null_count, true_percentage (of non-null rows)."""
     columns = _named(df, X.is_boolean) if columns is None else columns
-    agg = df.agg(*_each(columns, lambda c: {"true_count": F.count_if(c), "false_count": F.count_if(~c), "null_count": F.count_if(c.isNull())}))
-    out = _long(agg, columns, {"true_count": "bigint", "false_count": "bigint", "null_count": "bigint"})
+    make = lambda c: {"true_count": F.count_if(c), "false_count": F.count_if(~c), "null_count": F.count_if(c.isNull())}
+    out = _measured(df, columns, make, {"true_count": "bigint", "false_count": "bigint", "null_count": "bigint"})
     n = F.col("true_count") + F.col("false_count")
     return out.withColumn("true_percentage", F.when(n > 0, F.col("true_count") * 100.0 / n).otherwise(0.0))
 
@@ -184,8 +190,8 @@ def boolean_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
 def date_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, n, min_date, max_date, range_days."""
     columns = _named(df, X.is_date) if columns is None else columns
-    agg = df.agg(*_each(columns, lambda c: {"n": F.count(c), "min_date": F.min(c.cast("date")), "max_date": F.max(c.cast("date"))}))
-    out = _long(agg, columns, {"n": "bigint", "min_date": "date", "max_date": "date"})
+    make = lambda c: {"n": F.count(c), "min_date": F.min(c.cast("date")), "max_date": F.max(c.cast("date"))}
+    out = _measured(df, columns, make, {"n": "bigint", "min_date": "date", "max_date": "date"})
     return out.withColumn("range_days", F.datediff("max_date", "min_date").cast("bigint"))
 
 
