@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by SimHash."""
+    """One document, that of the least id, of each group of similarity 0.8 or more on five-word shingles, by SimHash."""
     return simhash.deduplicate(docs)
 
 
