@@ -1,6 +1,6 @@
 """Licence scans with a trained paragraph classifier.
 
-A paragraph (a line; long ones in overlapping windows of words) is a sparse bag of word 1- to 3-grams. A multinomial
+A paragraph (a line; long ones in overlapping windows of words) is the sparse set of its word 1- to 3-grams. A multinomial
 logistic regression with an L1 penalty tells licence families and an unknown class apart. It is trained on variants of
 the templates below, and for the unknown class on a bounded sample of the corpus's own paragraphs and on scrambled
 pieces of several templates. A temperature fitted on variants kept out of the training calibrates the probabilities. A
@@ -82,9 +82,8 @@ class Model:
     words: frozenset[str]  # of the n-grams with weights
 
     def vector(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        counts = Counter(i for g in ngrams(found) if (i := self.index.get(g)) is not None)
-        at, v = np.fromiter(counts, np.int64, len(counts)), np.sqrt(np.fromiter(counts.values(), float, len(counts)))
-        return at, v / max(1.0, float(np.sqrt(v @ v)))
+        own = {i for g in ngrams(found) if (i := self.index.get(g)) is not None}
+        return np.fromiter(own, np.int64, len(own)), np.full(len(own), 1 / max(1.0, len(own) ** 0.5))
 
     def probabilities(self, found: list[str]) -> np.ndarray:
         at, v = self.vector(found)
