@@ -45,8 +45,8 @@ def completeness_change(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.crossJoin(b).withColumn("improvement_ratio", F.col("completeness_before") - F.col("completeness_after"))  # two single rows
 
 
-def completeness_by_column(df: DataFrame) -> DataFrame:
-    n = P.null_counts(df)
+def completeness_by_column(df: DataFrame, nulls: DataFrame | None = None) -> DataFrame:
+    n = nulls or P.null_counts(df)
     return n.select("column", F.when(F.col("n_rows") > 0, 1 - F.col("null_count") / F.col("n_rows")).otherwise(0.0).alias("completeness"))
 
 
@@ -134,10 +134,16 @@ def pattern_anomalies(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return P._long(df.agg(*aggs), columns, {"length_outliers": "bigint", "digit_outliers": "bigint"})
 
 
-def value_anomalies(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """A table with a row for each column, rule or anomaly as values, so that what reads it again doesn't scan the data again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def value_anomalies(df: DataFrame, nulls: DataFrame | None = None, distinct: DataFrame | None = None) -> DataFrame:
     """column, anomaly, severity, value: high_null_percentage, low_uniqueness, value_dominance."""
     kinds = F.create_map(*[F.lit(x) for c, t in P.dtypes(df).items() for x in (c, t)])
-    both = P.null_counts(df).join(P.distinct_counts(df).select("column", "n_unique", "max_count"), "column", "left")
+    nulls, distinct = nulls or P.null_counts(df), distinct or P.distinct_counts(df)
+    both = nulls.join(distinct.select("column", "n_unique", "max_count"), "column", "left")
     unique = F.col("n_unique") / F.nullif(F.col("n_rows"), F.lit(0))
     top = F.col("max_count") / F.nullif(F.col("n_rows"), F.lit(0))
     found = F.array(
@@ -163,9 +169,9 @@ def severity_of_gap(name: str, percentage: Column, classes: FieldClasses) -> Col
 ANOMALY = "type string, field string, severity string, description string, business_impact string, affected_records bigint, percentage double"
 
 
-def missing_anomalies(df: DataFrame, classes: FieldClasses = FieldClasses()) -> DataFrame:
+def missing_anomalies(df: DataFrame, classes: FieldClasses = FieldClasses(), nulls: DataFrame | None = None) -> DataFrame:
     """Anomalies of the original table's gaps, graded by field class."""
-    n = P.null_counts(df)
+    n = nulls or P.null_counts(df)
     p = F.col("null_percentage")
     severity = F.lit(None).cast("string")
     for c in df.columns:
@@ -185,9 +191,10 @@ def financial_anomalies(df: DataFrame, total: str, price: str, quantity: str, to
     return agg.where("bad > 0").select(F.lit("calculation_mismatch").alias("type"), F.lit(total).alias("field"), F.when(share > 5, "high").otherwise("medium").alias("severity"), F.format_string("%d totals differ", "bad").alias("description"), F.lit("high").alias("business_impact"), F.col("bad").alias("affected_records"), share.alias("percentage"))
 
 
-def boolean_null_anomalies(df: DataFrame, least: float = 30.0) -> DataFrame:
+def boolean_null_anomalies(df: DataFrame, least: float = 30.0, nulls: DataFrame | None = None) -> DataFrame:
     booleans = [f.name for f in df.schema.fields if X.is_boolean(f.dataType)]
-    n = P.null_counts(df).where(F.col("column").isin(booleans) & (F.col("null_percentage") > least)) if booleans else P.null_counts(df).where("false")
+    n = nulls or P.null_counts(df)
+    n = n.where(F.col("column").isin(booleans) & (F.col("null_percentage") > least)) if booleans else n.where("false")
     return n.select(F.lit("data_type_inconsistency").alias("type"), F.col("column").alias("field"), F.lit("medium").alias("severity"), F.format_string("%.1f%% of a boolean field is null", "null_percentage").alias("description"), F.lit("medium").alias("business_impact"), F.col("null_count").alias("affected_records"), F.col("null_percentage").alias("percentage"))
 
 
@@ -198,8 +205,8 @@ def performance_anomalies(spark: SparkSession, timings: dict[str, float], share:
     return spark.createDataFrame(rows, ANOMALY)
 
 
-def anomalies(original: DataFrame, cleaned: DataFrame, totals: tuple[str, str, str] | None = None, classes: FieldClasses = FieldClasses(), timings: dict[str, float] | None = None) -> DataFrame:
-    out = missing_anomalies(original, classes).union(boolean_null_anomalies(cleaned))
+def anomalies(original: DataFrame, cleaned: DataFrame, totals: tuple[str, str, str] | None = None, classes: FieldClasses = FieldClasses(), timings: dict[str, float] | None = None, nulls_before: DataFrame | None = None, nulls_after: DataFrame | None = None) -> DataFrame:
+    out = missing_anomalies(original, classes, nulls_before).union(boolean_null_anomalies(cleaned, nulls=nulls_after))
     if totals and all(c in cleaned.columns for c in totals):
         out = out.union(financial_anomalies(cleaned, *totals))
     return out.union(performance_anomalies(original.sparkSession, timings)) if timings else out
@@ -211,11 +218,11 @@ def anomaly_rollup(found: DataFrame) -> DataFrame:
     return cut("severity").union(cut("business_impact"))
 
 
-def detector_rollup(df: DataFrame) -> DataFrame:
+def detector_rollup(df: DataFrame, patterns: DataFrame | None = None, outliers: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
     """detector, columns: how many columns each detector reports."""
-    text = pattern_anomalies(df).where("length_outliers + digit_outliers > 0").select("column", F.lit("pattern").alias("detector"))
-    numbers = P.outlier_counts(df).where("outlier_count > 0").select("column", F.lit("statistical").alias("detector"))
-    values = value_anomalies(df).select("column", F.lit("value").alias("detector")).distinct()
+    text = (patterns or pattern_anomalies(df)).where("length_outliers + digit_outliers > 0").select("column", F.lit("pattern").alias("detector"))
+    numbers = (outliers or P.outlier_counts(df)).where("outlier_count > 0").select("column", F.lit("statistical").alias("detector"))
+    values = (values or value_anomalies(df)).select("column", F.lit("value").alias("detector")).distinct()
     return text.union(numbers).union(values).groupBy("detector").agg(F.count(F.lit(1)).alias("columns"))
 
 
@@ -224,10 +231,10 @@ def missing_level(percentage: Column) -> Column:
     return F.when(percentage <= 0, 0).when(percentage < 3, 1).when(percentage < 10, 2).when(percentage < 30, 3).otherwise(4)
 
 
-def field_matrix(original: DataFrame, found: DataFrame | None = None, classes: FieldClasses = FieldClasses()) -> DataFrame:
+def field_matrix(original: DataFrame, found: DataFrame | None = None, classes: FieldClasses = FieldClasses(), nulls: DataFrame | None = None) -> DataFrame:
     """field, missing, calculation, inconsistency, impact: levels 0 to 4 from the data and the field's class."""
     found = missing_anomalies(original, classes) if found is None else found
-    n = P.null_counts(original).select(F.col("column").alias("field"), "null_percentage")
+    n = (nulls or P.null_counts(original)).select(F.col("column").alias("field"), "null_percentage")
     base = {"discount": 2, "financial": 3, "descriptive": 2, "other": 1}
     of = F.create_map(*[F.lit(x) for c in original.columns for x in (c, base[classes.of(c)])])
     p = F.col("null_percentage")
@@ -294,17 +301,17 @@ def type_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.sparkSession.createDataFrame(rows, "column string, from_type string, to_type string, category string")
 
 
-def null_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
+def null_comparison(before: DataFrame, after: DataFrame, nulls_before: DataFrame | None = None, nulls_after: DataFrame | None = None) -> DataFrame:
     """column, nulls_before, nulls_after, nulls_fixed."""
-    a = P.null_counts(before).select("column", F.col("null_count").alias("nulls_before"))
-    b = P.null_counts(after).select("column", F.col("null_count").alias("nulls_after"))
+    a = (nulls_before or P.null_counts(before)).select("column", F.col("null_count").alias("nulls_before"))
+    b = (nulls_after or P.null_counts(after)).select("column", F.col("null_count").alias("nulls_after"))
     return a.join(b, "column", "full_outer").withColumn("nulls_fixed", F.col("nulls_before") - F.col("nulls_after"))
 
 
 ALERT = "type string, severity string, message string, metric string, value double, threshold double, affected_columns array<string>"
 
 
-def alerts(df: DataFrame, scores: dict[str, float] | None = None) -> DataFrame:
+def alerts(df: DataFrame, scores: dict[str, float] | None = None, nulls: DataFrame | None = None, detectors: DataFrame | None = None) -> DataFrame:
     """Alerts on the score, completeness, detected anomalies and sparse columns of a table."""
     spark = df.sparkSession
     s = scores or quality_scores(df).first().asDict()
@@ -313,10 +320,10 @@ def alerts(df: DataFrame, scores: dict[str, float] | None = None) -> DataFrame:
         rows.append(("quality_score", "high", f"Overall quality is {s['overall']:.1%}", "overall", s["overall"], 0.7, []))
     if s["completeness"] < 0.95:
         rows.append(("completeness", "medium", f"Completeness is {s['completeness']:.1%}", "completeness", s["completeness"], 0.95, []))
-    n = sum(r["columns"] for r in detector_rollup(df).collect())
+    n = sum(r["columns"] for r in (detectors or detector_rollup(df)).collect())
     if n:
         rows.append(("anomalies", "medium", f"{n} anomalies detected", "anomalies", float(n), 0.0, []))
-    sparse = [r["column"] for r in P.null_counts(df).where("null_percentage > 20").orderBy("column").collect()]
+    sparse = [r["column"] for r in (nulls or P.null_counts(df)).where("null_percentage > 20").orderBy("column").collect()]
     if sparse:
         rows.append(("sparse_columns", "medium", "Over 20% null: " + ", ".join(sparse[:5]), "null_percentage", float(len(sparse)), 20.0, sparse))
     return spark.createDataFrame(rows, ALERT)
@@ -367,19 +374,26 @@ class Timer:
 
 
 def monitor(original: DataFrame, cleaned: DataFrame, log: DataFrame | None = None, totals: tuple[str, str, str] | None = None, classes: FieldClasses = FieldClasses(), timings: dict[str, float] | None = None) -> dict[str, Any]:
-    """The whole report as plain values; every table in it has a row for each column, rule or anomaly."""
+    """The whole report as plain values; every table in it has a row for each column, rule or anomaly.
+
+    What several parts need (null counts, distinct counts, anomalies) is gathered once.
+    """
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     scores = quality_scores(cleaned).first().asDict()
     before = quality_scores(original).first().asDict()
-    found = anomalies(original, cleaned, totals, classes, timings)
+    nulls_before, nulls_after = small(P.null_counts(original)), small(P.null_counts(cleaned))
+    found = small(anomalies(original, cleaned, totals, classes, timings, nulls_before, nulls_after))
+    outliers, patterns = small(statistical_outliers(cleaned)), small(pattern_anomalies(cleaned))
+    values = small(value_anomalies(cleaned, nulls_after))
+    detectors = detector_rollup(cleaned, patterns, outliers, values)
     return {
         "quality_scores": scores | {"status": status(scores["overall"])},
-        "quality_metrics": {"before": before, "after": scores, "consistency": rows(consistency(cleaned)), "validity": rows(validity(cleaned)), "completeness": rows(completeness_by_column(cleaned)), "timeliness": rows(timeliness(cleaned)), "accuracy": {"value": None, "method": "not_measured"}},
-        "anomalies": {"detected": rows(found), "rollup": rows(anomaly_rollup(found)), "statistical": rows(statistical_outliers(cleaned)), "patterns": rows(pattern_anomalies(cleaned)), "values": rows(value_anomalies(cleaned))},
-        "field_matrix": rows(field_matrix(original, found, classes)),
+        "quality_metrics": {"before": before, "after": scores, "consistency": rows(consistency(cleaned)), "validity": rows(validity(cleaned)), "completeness": rows(completeness_by_column(cleaned, nulls_after)), "timeliness": rows(timeliness(cleaned)), "accuracy": {"value": None, "method": "not_measured"}},
+        "anomalies": {"detected": rows(found), "rollup": rows(anomaly_rollup(found)), "detectors": rows(detectors), "statistical": rows(outliers), "patterns": rows(patterns), "values": rows(values)},
+        "field_matrix": rows(field_matrix(original, found, classes, nulls_before)),
         "component_impact": {r["component"]: r["impact"] for r in component_impact(found, classes).collect()},
-        "comparison": {"type_changes": rows(type_changes(original, cleaned)), "nulls": rows(null_comparison(original, cleaned))},
-        "alerts": rows(alerts(cleaned, scores)),
+        "comparison": {"type_changes": rows(type_changes(original, cleaned)), "nulls": rows(null_comparison(original, cleaned, nulls_before, nulls_after))},
+        "alerts": rows(alerts(cleaned, scores, nulls_after, detectors)),
         "rule_performance": rows(rule_performance(log)) if log is not None else [],
         "timings": dict(timings or {}),
     }
