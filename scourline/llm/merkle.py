@@ -140,7 +140,7 @@ def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 def _below(nodes: DataFrame, parents: DataFrame, fanout: int) -> DataFrame:
     up = parents.select("file", F.col("nth").alias("up_"))
-    return nodes.select("file", "nth", "hash", F.floor(F.col("nth") / fanout).cast("bigint").alias("up_")).join(up, ["file", "up_"], "left_semi").select("file", "nth", "hash")
+    return nodes.withColumn("up_", F.floor(F.col("nth") / fanout).cast("bigint")).join(up, ["file", "up_"], "left_semi").select(*nodes.columns)
 
 
 def write_warc(rows: Iterable[tuple[str, bytes]], compress: bool = False) -> bytes:
