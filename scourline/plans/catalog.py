@@ -6,6 +6,7 @@ The tables hold no nulls and few duplicates, so dirty views are derived by the s
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from scourline.operators import clean as C
 from scourline.operators import match as M
 from scourline.operators import monitor as Q
 from scourline.operators import profile as P
-from scourline.plans.scratch import folder, keep
+from scourline.plans.scratch import folder
 from scourline.sources import reports, rules, tables
 from scourline.streaming.rules import clean_stream, windowed_metrics
 
@@ -564,7 +565,7 @@ def statistical_outliers(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_round_trip(spark, sf_dir):
-    path = tables.write_table(table(spark, sf_dir, "customer"), f"{folder(spark)}/csv-{id(object())}", "csv")
+    path = tables.write_table(table(spark, sf_dir, "customer"), f"{folder(spark)}/csv-{uuid4().hex}", "csv")
     return tables.load_csv(spark, path)
 
 
@@ -580,7 +581,7 @@ def _stream(spark, sf_dir, *columns):
 
 def _run_stream(df: DataFrame, mode: str) -> DataFrame:
     """A stream run to its end; the last result of each batch, stored."""
-    spark, out = df.sparkSession, f"{folder(df.sparkSession)}/stream-{id(df)}"
+    spark, out = df.sparkSession, f"{folder(df.sparkSession)}/stream-{uuid4().hex}"
     write = lambda batch, n: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
