@@ -86,8 +86,8 @@ def remove(docs: DataFrame, items: DataFrame, what: str = "documents", id_col: s
     hit = keep(hit.select(F.col("id").alias("hit_id_"), F.col("mark").alias("hit_mark_"), F.col("spans").alias("hit_spans_")), "hits")
     same = docs[id_col].eqNullSafe(F.col("hit_id_")) & (F.xxhash64(docs[text_col]) == F.col("hit_mark_"))
     if what == "documents":
-        return docs.join(hit, same, "left_anti")
-    joined = docs.join(hit.dropDuplicates(["hit_id_", "hit_mark_"]), same, "left")
+        return docs.join(hit.hint("merge"), same, "left_anti")
+    joined = docs.join(hit.dropDuplicates(["hit_id_", "hit_mark_"]).hint("merge"), same, "left")
     word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     tail = F.regexp_extract(docs[text_col], r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
     joined = joined.withColumn("hit_parts_", F.regexp_extract_all(docs[text_col], F.lit(word), F.lit(0)))

@@ -126,7 +126,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", ledg
     """``docs`` with each maximal run of overlapping spans replaced by ``mark``. Texts without spans stay as they are."""
     found = findings(ledger_of(docs, text_col, ledger, rules), rules).select(F.col("blob").alias("scourline_blob"), F.col("spans").alias("scourline_spans"))
     found = keep(found, "findings")
-    joined = docs.join(found, blob_of(docs[text_col]) == F.col("scourline_blob"), "left")
+    joined = docs.join(found.hint("merge"), blob_of(docs[text_col]) == F.col("scourline_blob"), "left")
     text = f"`{text_col}`"
     out = F.expr(
         f"aggregate(scourline_spans, named_struct('at', 0L, 'out', ''), (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', "

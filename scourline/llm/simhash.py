@@ -335,7 +335,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     open_ = near.where(~sure)
     asked = keep(open_.select(F.col("u").alias("asked")).union(open_.select("v")).distinct(), "asked")
     # An id with several texts stands for the first of its shingle sets.
-    sets = shingle_sets(docs.join(asked, docs[id_col].cast("bigint") == F.col("asked"), "left_semi"), id_col, text_col, width)
+    sets = shingle_sets(docs.join(asked.hint("merge"), docs[id_col].cast("bigint") == F.col("asked"), "left_semi"), id_col, text_col, width)
     sets = keep(sets.groupBy("id").agg(F.max("shingles").alias("shingles")), "shingles")
     a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "uv")
     shared = F.size(F.array_intersect("set_u", "set_v"))
@@ -352,7 +352,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct, star = similar(docs, id_col, text_col, width, least)
     first = distinct.join(star, F.col("id") == F.col("a"), "left_anti").groupBy(F.col("id").alias("scourline_id")).agg(F.count(F.lit(1)).alias("texts"))
     first = keep(first, "representatives")
-    kept = docs.join(first, docs[id_col].cast("bigint") == F.col("scourline_id"), "left_semi")
+    kept = docs.join(first.hint("merge"), docs[id_col].cast("bigint") == F.col("scourline_id"), "left_semi")
     ids = docs.select(F.col(id_col).cast("bigint").alias("id")).where("id is not null")
     if not ids.groupBy("id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, text_col])
