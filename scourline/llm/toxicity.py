@@ -15,6 +15,7 @@ one says so; rows without a label or an id are scored but not learnt from. Other
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -102,9 +103,12 @@ def fit(docs: list[list[str]], labels: list[int], size: int = 8, epochs: int = 1
     word_ids: dict[str, int] = {}
     bags = [np.unique([word_ids.setdefault(w, len(word_ids)) for t in d for w in pieces(t)]).astype(np.int64) for d in docs]
     gram_ids: dict[str, int] = {}
-    lists = [[gram_ids.setdefault(g, len(gram_ids)) for g in grams(w, least, most)] for w in word_ids]
-    lens = np.array([len(x) for x in lists])
-    flat = np.fromiter((g for x in lists for g in x), np.int64, int(lens.sum()))
+    packed, ends = array("i"), array("q")
+    for w in word_ids:
+        packed.extend([gram_ids.setdefault(g, len(gram_ids)) for g in grams(w, least, most)])
+        ends.append(len(packed))
+    flat = np.frombuffer(packed, np.int32)
+    lens = np.diff(np.frombuffer(ends, np.int64), prepend=0)
     starts = np.cumsum(lens) - lens
     order = rng.permutation(len(y))
     kept_out = np.zeros(len(y), bool)
@@ -187,9 +191,11 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.string()))], ["id", "y", "tokens"])
 
     few = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = few.join(F.broadcast(ids.select("id", "y")), "id").mapInArrow(tokens, "id bigint, y int, tokens array<string>").collect()
-    rows = sorted(rows, key=lambda r: (r["id"], r["tokens"]))[: 2 * most]
-    return [r["tokens"] for r in rows], [r["y"] for r in rows]
+    rows = few.join(F.broadcast(ids.select("id", "y")), "id").mapInArrow(tokens, "id bigint, y int, tokens array<string>").toArrow()
+    one: dict[str, str] = {}  # a token that many documents share is held once
+    found = [(i, y, [one.setdefault(t, t) for t in x.as_py()]) for i, y, x in zip(rows["id"].to_pylist(), rows["y"].to_pylist(), rows["tokens"])]
+    found.sort(key=lambda r: (r[0], r[2]))
+    return [r[2] for r in found[: 2 * most]], [r[1] for r in found[: 2 * most]]
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None, **options) -> Model:
