@@ -202,6 +202,8 @@ def components(fps: DataFrame, id_col: str = "doc_id", most: int = 3, crowd: int
 # Similar documents: a longer fingerprint for links far beyond 3 bits.
 
 TABLES, SLOT = 12, 16
+#: Texts of so few shingles are compared with all others on the shingles: their bits do not follow the law of large sets.
+FEW = 0
 
 
 def shingles(text: bytes, width: int = 5, seed: int = 42) -> set[int]:
@@ -215,9 +217,8 @@ def shingles(text: bytes, width: int = 5, seed: int = 42) -> set[int]:
     return {digest(joined[a:b], seed) for a, b in zip([0, *(e + 1 for e in ends)], ends[width - 1 :])}
 
 
-def wide_fingerprint(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
-    """12 signed 64-bit SimHashes of the set of shingles, each under hashes of its own."""
-    found = shingles(text, width, seed)
+def wide_fingerprint(found: set[int]) -> np.ndarray:
+    """12 signed 64-bit SimHashes of a set of shingles, each under hashes of its own."""
     if not found:
         return np.zeros(TABLES, np.int64)
     h = np.fromiter(found, np.uint64, len(found))
@@ -234,17 +235,19 @@ def wide_fingerprint(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
     return out
 
 
-def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42) -> DataFrame:
-    """(id, fps) for every row."""
+def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, most: int = FEW, seed: int = 42) -> DataFrame:
+    """(id, fps, few) for every row: few has the shingles in order if they are ``most`` at most, else it is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [wide_fingerprint(t.as_py() or b"", width, seed) for t in b.column(1).cast(pa.binary())]
+            sets = [shingles(t.as_py() or b"", width, seed) for t in b.column(1).cast(pa.binary())]
+            fps = [wide_fingerprint(x) for x in sets]
             flat = pa.array(np.concatenate(fps) if fps else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * TABLES, pa.int32()), flat)], ["id", "fps"])
+            few = [np.sort(np.fromiter(x, np.uint64, len(x)).view(np.int64)) if 0 < len(x) <= most else None for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * TABLES, pa.int32()), flat), pa.array(few, pa.list_(pa.int64()))], ["id", "fps", "few"])
 
-    few = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return few.mapInArrow(run, "id bigint, fps array<bigint>")
+    chosen = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInArrow(run, "id bigint, fps array<bigint>, few array<bigint>")
 
 
 def radius_of(least: float, deviations: float, bits: int = TABLES * BITS) -> int:
@@ -266,29 +269,34 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int, seed: in
 
 
 def _meet_wide(most: int):
-    """Like ``_meet`` for rows (place, id, f, g) sorted by place: edges of a forest of the links over two fingerprints."""
+    """Like ``_meet`` for rows (place, id, f, g) sorted by place: (family, id) for whatever links over two fingerprints connect.
+
+    Such links only say who may be alike, so all members of a family stay; families of the same members have one name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
-        def edges(place, ids, f, g) -> pa.RecordBatch:
+        def families(place, ids, f, g) -> pa.RecordBatch:
             bounds = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]])
-            found = []
+            found = {}
             for i in np.flatnonzero(np.diff(bounds) > 1):
                 at = slice(bounds[i], bounds[i + 1])
-                order = np.argsort(ids[at] * np.int64(0x5851F42D4C957F2D) + place[bounds[i]] * np.int64(0x14057B7EF767814F))  # other pivots in other places
-                left = np.stack([ids[at].view(np.uint64), f[at].view(np.uint64), g[at].view(np.uint64)])[:, order]
+                left = np.stack([ids[at].view(np.uint64), f[at].view(np.uint64), g[at].view(np.uint64)])
                 while left.shape[1] > 1:
-                    front, left = [left[:, 0]], left[:, 1:]
+                    front, left, members = [left[:, 0]], left[:, 1:], [left[0, :1]]
                     while front and left.shape[1]:
                         pivot = front.pop()
                         near = np.bitwise_count(left[1] ^ pivot[1]).astype(np.int16) + np.bitwise_count(left[2] ^ pivot[2]) <= most
                         if near.any():
-                            found.append(np.stack([np.full(int(near.sum()), pivot[0]), left[0, near]], 1))
+                            members.append(left[0, near])
                             front += list(left[:, near].T)
                             left = left[:, ~near]
-            both = (np.concatenate(found) if found else np.zeros((0, 2), np.uint64)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["u", "v"])
+                    if len(members) > 1:
+                        own = np.sort(np.concatenate(members).view(np.int64))
+                        found[xxhash.xxh64_intdigest(own.tobytes())] = own
+            names = np.repeat(np.array(list(found), np.uint64).view(np.int64), [len(x) for x in found.values()])
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([np.zeros(0, np.int64), *found.values()]))], ["family", "id"])
 
         with np.errstate(over="ignore"):
             for b in batches:
@@ -301,9 +309,104 @@ def _meet_wide(most: int):
                 start = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
                 held = [x[start:] for x in now]
                 if start:
-                    yield edges(*(x[:start] for x in now))
+                    yield families(*(x[:start] for x in now))
             if held is not None:
-                yield edges(*held)
+                yield families(*held)
+
+    return run
+
+
+def _alike(ids: np.ndarray, fps: np.ndarray, few: list[np.ndarray | None], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Edges (u, v, sure) of one family. Only links that are certain join members; of the pairs that they leave apart, each
+    that may be alike is given as not sure."""
+    size = np.array([0 if x is None else len(x) for x in few])
+    has = np.flatnonzero(size)
+    if len(has):
+        kinds, codes = np.unique(np.concatenate([few[i] for i in has]), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size[has])])
+        order = np.zeros(len(ids), np.int64)
+        order[has] = np.arange(len(has))
+    sure, most = radius_of(least, -4), radius_of(least, 3)
+    apart = lambda p, rest: np.bitwise_count(fps[rest] ^ fps[p]).sum(1, dtype=np.int64)
+    group = np.full(len(ids), -1)
+    left = np.arange(len(ids))
+    while len(left):
+        front, left = [left[0]], left[1:]
+        group[front[0]] = front[0]
+        while front and len(left):
+            p = front.pop()
+            linked = np.zeros(len(left), bool)
+            both = (size[left] > 0) & (size[p] > 0)
+            if both.any():
+                own = np.zeros(len(kinds), np.int64)
+                own[codes[starts[order[p]] : starts[order[p]] + size[p]]] = 1
+                shared = np.add.reduceat(own[codes], starts[:-1])[order[left[both]]]
+                linked[both] = shared >= least * (size[left[both]] + size[p] - shared)
+            if not both.all():
+                linked[~both] = apart(p, left[~both]) <= sure
+            if linked.any():
+                near = left[linked]
+                group[near] = group[p]
+                yield np.full(len(near), ids[p]), ids[near], True
+                front += near.tolist()
+                left = left[~linked]
+    if (group == group[0]).all() or len(has) == len(ids):
+        return
+    for p in range(len(ids) - 1):
+        rest = np.arange(p + 1, len(ids))
+        rest = rest[(group[rest] != group[p]) & ~((size[rest] > 0) & (size[p] > 0))]
+        near = rest[apart(p, rest) <= most]
+        if len(near):
+            yield np.full(len(near), ids[p]), ids[near], False
+
+
+def _compare(least: float):
+    """Streams rows (family, id, fps, few) sorted by family; gives edges (u, v, sure)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        found: list[tuple[np.ndarray, np.ndarray, bool]] = []
+        many = 0
+
+        def out() -> pa.RecordBatch:
+            u, v = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
+            sure = np.repeat([x[2] for x in found], [len(x[0]) for x in found]).astype(bool)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sure)], ["u", "v", "sure"])
+
+        def families(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal many
+            name, ids = (t.column(i).to_numpy() for i in (0, 1))
+            fps = t.column(2).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, TABLES)
+            few = [None if x.values is None else x.values.to_numpy() for x in t.column(3)]
+            bounds = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1).tolist(), len(name)]
+            for a, b in zip(bounds, bounds[1:]):
+                for edge in _alike(ids[a:b], fps[a:b], few[a:b], least):
+                    found.append(edge)
+                    many += len(edge[0])
+                    if many > 100_000:
+                        yield out()
+                        many = 0
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = pa.Table.from_batches([b])
+            name = b.column(0).to_numpy()
+            start = int(np.searchsorted(name, name[-1]))
+            if held is not None and start:
+                yield from families(pa.concat_tables([held, now.slice(0, start)]))
+                held = None
+            elif held is not None and held.column(0)[0].as_py() != name[0]:
+                yield from families(held)
+                held = None
+            elif start:
+                yield from families(now.slice(0, start))
+            held = now.slice(start) if held is None else pa.concat_tables([held, now])
+        if held is not None:
+            yield from families(held)
+        if found:
+            yield out()
 
     return run
 
@@ -314,25 +417,34 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     ``distinct`` has a row (id, fps, n) for each distinct 768-bit fingerprint, with the least id of its texts; ``star`` maps
     every one of these ids that isn't the least of its group to that least id (a, b).
 
-    Fingerprints meet in 48 blocks of 16 bits, pass a Hamming check over 128 bits there, and a link is verified over all
-    768 bits; links too close to ``least`` for that are verified on the shingles. At a similarity of 0.8 two texts share
-    a block with probability 0.97, at 0.85 with 0.996. Places of many more than a hundred thousand fingerprints ask for
-    wider blocks.
+    Fingerprints meet in 48 blocks of 16 bits; what a Hamming check over 128 bits connects there is a family. Within a
+    family all pairs are compared over all 768 bits; links too close to ``least`` for that are verified on the shingles, and
+    only links that are certain join members before that. At a similarity of 0.8 two texts share a block with probability
+    0.97, at 0.85 with 0.996.
+
+    Texts of at most ``FEW`` shingles do not go by bits. They and the texts of up to ``FEW / least``, the largest they can be
+    similar to, are a family by each shingle of their prefixes (of two sets of similarity ``least`` the first shingles, so
+    many that the rest couldn't make it, share one), and are compared on their shingles there: these links are exact.
+
+    A place and a family are brought whole into one task. Places of many more than a hundred thousand fingerprints ask
+    for wider blocks.
     """
-    each = wide_fingerprints(docs, id_col, text_col, width).where("id is not null")
-    distinct = keep(each.groupBy("fps").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct-wide")
+    each = wide_fingerprints(docs, id_col, text_col, width, int(FEW / least + 1e-9)).where("id is not null")
+    distinct = keep(each.groupBy("fps").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("few").alias("few")), "distinct-wide")
     slots = TABLES * (BITS // SLOT)
     per = BITS // SLOT
     own, other = f"fps[cast(s div {per} as int)]", f"fps[cast((s div {per} + 1) % {TABLES} as int)]"
     row = f"named_struct('place', cast(s as bigint) * 65536 + (shiftrightunsigned({own}, {SLOT} * (s % {per})) & 65535), 'f', {own}, 'g', {other})"
-    filed = distinct.select("id", F.explode(F.expr(f"transform(sequence(0, {slots - 1}), s -> {row})")).alias("r")).select("r.place", "id", "r.f", "r.g")
-    met = filed.repartition("place").sortWithinPartitions("place").mapInArrow(_meet_wide(radius_of(least, 3.1, 2 * BITS - SLOT)), "u bigint, v bigint")
-    pairs = keep(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs-wide")
-    a, b = (distinct.select(F.col("id").alias(c), F.col("fps").alias(f"fps_{c}")) for c in "uv")
-    apart = F.expr("aggregate(zip_with(fps_u, fps_v, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    near = keep(pairs.join(a, "u").join(b, "v").select("u", "v", apart.alias("apart")).where(F.col("apart") <= radius_of(least, 3)), "near")
-    sure = F.col("apart") <= radius_of(least, -4)
-    open_ = near.where(~sure)
+    filed = distinct.where(f"few is null or size(few) > {FEW}").select("id", F.explode(F.expr(f"transform(sequence(0, {slots - 1}), s -> {row})")).alias("r")).select("r.place", "id", "r.f", "r.g")
+    met = filed.repartition("place").sortWithinPartitions("place").mapInArrow(_meet_wide(radius_of(least, 3.1, 2 * BITS - SLOT)), "family bigint, id bigint")
+    first = F.expr(f"slice(few, 1, size(few) - cast(ceil({least} * size(few) - 1e-9) as int) + 1)")
+    sharing = distinct.where("few is not null").select("id", F.explode(first).alias("place")).groupBy("place").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    sharing = sharing.where(F.size("ids") > 1).select(F.xxhash64("ids").alias("family"), F.explode("ids").alias("id"))
+    families = keep(met.union(sharing).distinct(), "families")
+    members = families.join(distinct.select("id", "fps", "few"), "id").select("family", "id", "fps", "few")
+    compared = members.repartition("family").sortWithinPartitions("family").mapInArrow(_compare(least), "u bigint, v bigint, sure boolean")
+    near = keep(compared.where("u <> v").groupBy("u", "v").agg(F.max("sure").alias("sure")), "near")
+    open_ = near.where("not sure")
     asked = keep(open_.select(F.col("u").alias("asked")).union(open_.select("v")).distinct(), "asked")
     # An id with several texts stands for the first of its shingle sets.
     sets = shingle_sets(docs.join(asked.hint("merge"), docs[id_col].cast("bigint") == F.col("asked"), "left_semi"), id_col, text_col, width)
@@ -341,7 +453,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     shared = F.size(F.array_intersect("set_u", "set_v"))
     alike = shared >= least * (F.size("set_u") + F.size("set_v") - shared)
     checked = open_.join(a, "u").join(b, "v").where(alike).select("u", "v")
-    return distinct, stars(near.where(sure).select("u", "v").union(checked))
+    return distinct, stars(near.where("sure").select("u", "v").union(checked))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:

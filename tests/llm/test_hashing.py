@@ -101,6 +101,42 @@ def test_similar_documents(spark, make):
     assert simhash.deduplicate(make(ODD)).count() == 8  # null, empty and blank are one, the two equal texts too
 
 
+def brute_groups(texts, least=0.8):
+    sets = [simhash.shingles(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def changed(rng, words, n):
+    """Each of n words, far enough apart, takes five shingles."""
+    out = list(words)
+    for at in rng.sample(range(5, len(words) - 5, 6), n):
+        out[at] = f"w{rng.getrandbits(40)}"
+    return out
+
+
+def test_near_copies_within_a_family_of_looser_texts(spark, make):
+    rng = random.Random(12)
+    base = [f"b{rng.getrandbits(40)}" for _ in range(400)]
+    family = [changed(rng, base, 8) for _ in range(60)]  # similarity about 0.7 among themselves
+    copies = [changed(rng, t, 7) for t in family[:30]]  # about 0.84 to one of them
+    texts = [" ".join(t) for t in family + copies]
+    want = brute_groups(texts)
+    assert 50 <= len(want) <= 70
+    assert {r["doc_id"] for r in simhash.deduplicate(make(texts)).collect()} == want
+
+
 def brute_order_minhash(text, k, width, sketches):
     codes = [ord(c) for c in text]
     h = orderminhash.kmers(np.array(codes, np.uint32), k)
