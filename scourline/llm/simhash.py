@@ -203,7 +203,7 @@ def components(fps: DataFrame, id_col: str = "doc_id", most: int = 3, crowd: int
 
 TABLES, SLOT = 12, 16
 #: Texts of so few shingles are compared with all others on the shingles: their bits do not follow the law of large sets.
-FEW = 0
+FEW = 64
 
 
 def shingles(text: bytes, width: int = 5, seed: int = 42) -> set[int]:

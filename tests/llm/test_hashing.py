@@ -137,6 +137,16 @@ def test_near_copies_within_a_family_of_looser_texts(spark, make):
     assert {r["doc_id"] for r in simhash.deduplicate(make(texts)).collect()} == want
 
 
+def test_short_similar_texts_are_all_found(spark, make):
+    rng = random.Random(13)
+    texts = []
+    for n in (8, 9, 13, 16, 20, 32, 64, 68):  # n and n - 4 shingles at a similarity of 0.8 or little more
+        for _ in range(15):
+            words = [f"b{rng.getrandbits(40)}" for _ in range(n)]
+            texts += [" ".join(words), " ".join([*words, *(f"c{rng.getrandbits(40)}" for _ in range((n - 4) // 4))])]
+    assert {r["doc_id"] for r in simhash.deduplicate(make(texts)).collect()} == brute_groups(texts) == set(range(0, len(texts), 2))
+
+
 def brute_order_minhash(text, k, width, sketches):
     codes = [ord(c) for c in text]
     h = orderminhash.kmers(np.array(codes, np.uint32), k)
