@@ -79,7 +79,14 @@ class Model:
     least: float
     overlap: float
     templates: dict[str, list[set[tuple[str, str]]]]
-    words: frozenset[str]  # of the n-grams with weights
+    pairs: frozenset[tuple[str, str]]  # of all templates
+
+    def reached(self, own: set[tuple[str, str]]) -> list[set[tuple[str, str]]]:
+        """The templates of which ``own`` has the share of word pairs that confirms a family."""
+        if own.isdisjoint(self.pairs):
+            return []
+        own = own & self.pairs
+        return [t for ts in self.templates.values() for t in ts if len(t & own) >= self.overlap * len(t)]
 
     def vector(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own = {i for g in ngrams(found) if (i := self.index.get(g)) is not None}
@@ -97,8 +104,8 @@ class Model:
         return max((len(t & own) / len(t) for t in self.templates[family]), default=0.0)
 
     def classify(self, found: list[str]) -> tuple[str, float]:
-        """The confirmed family and its probability, else the unknown class and its own."""
-        if self.words.isdisjoint(found):
+        """The confirmed family and its probability, else the unknown class and its own (1 if no template could confirm)."""
+        if not self.reached(pairs(found)):
             return UNKNOWN, 1.0
         p = self.probabilities(found)
         k = int(p.argmax())
@@ -145,7 +152,7 @@ def fit(background: list[str], variants: int = 40, epochs: int = 6, rate: float
     held, train = order[: len(rows) // 5], order[len(rows) // 5 :]
     seen = Counter(g for i in train for g in set(ngrams(rows[i][1])))
     index = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n > 2))}
-    model = Model(families, index, np.zeros((len(index), len(families))), np.zeros(len(families)), 1.0, least, overlap, known, frozenset())
+    model = Model(families, index, np.zeros((len(index), len(families))), np.zeros(len(families)), 1.0, least, overlap, known, frozenset().union(*(t for ts in known.values() for t in ts)))
     w, square, bias_square = model.weights, np.full((len(index), len(families)), 1e-3), np.full(len(families), 1e-3)
     vectors = {i: model.vector(rows[i][1]) for i in train}
     for _ in range(epochs):
@@ -174,11 +181,6 @@ def fit(background: list[str], variants: int = 40, epochs: int = 6, rate: float
         return float(-((1 - miss) * own + miss * (logp.sum(1) - own) / (len(families) - 1)).mean())
 
     model.temperature = float(min(np.exp(np.linspace(-3, 3, 121)), key=loss))
-    # A licence needs a word that some template has and background text does not lead to the unknown class by itself.
-    pull = w[:, 1:].max(axis=1) > w[:, 0]
-    common = Counter(x for r in others for x in set(r))
-    rare = {x for t in every for x in t if common[x] <= 0.001 * len(others)}
-    model.words = frozenset(x for g, i in index.items() if pull[i] for x in g.split(" ") if x in rare)
     return model
 
 

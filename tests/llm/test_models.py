@@ -129,6 +129,14 @@ def test_licences_not_learnt_word_for_word(spark, odd):
     assert "apache" in {model.classify(w)[0] for _, w in licenses.paragraphs(long)}
 
 
+def test_licences_in_corpora_that_use_their_words():
+    lines = ["the public domain of the city", "all of the rights were reserved for them", "she released a new song with her license", "under the bridge mit dem Hund"]
+    model = licenses.fit(lines * 10)
+    of = lambda t: model.classify(licenses.tokens(t))[0]
+    assert of("This work is in the public domain.") == "cc0" and of("Released under the MIT License.") == "mit"
+    assert of("All rights reserved.") == "all-rights-reserved" and {of(x) for x in lines} == {licenses.UNKNOWN}
+
+
 # Pages
 
 LONG = "A paragraph of running text that says enough to be a part of the story, and then some more. " * 4
