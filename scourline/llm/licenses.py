@@ -1,6 +1,7 @@
 """Licence scans with a trained paragraph classifier.
 
-A paragraph (a line; long ones in overlapping windows of words) is the sparse set of its word 1- to 3-grams. A multinomial
+A paragraph (a line; long ones in overlapping windows of words; and what a notice wrapped over several lines of a block
+without blank lines has in common with a template, comment marks aside) is the sparse set of its word 1- to 3-grams. A multinomial
 logistic regression with an L1 penalty tells licence families and an unknown class apart. It is trained on variants of
 the templates below, and for the unknown class on a bounded sample of the corpus's own paragraphs and on scrambled
 pieces of several templates. A temperature fitted on variants kept out of the training calibrates the probabilities. A
@@ -44,6 +45,7 @@ WORDS = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 #: Words of a window and of the step to the next one.
 WINDOW, STEP = 64, 32
 ORDERS = 3
+REMARK = re.compile(r"^\s*(?:rem|dnl)\s", re.I)
 
 
 def tokens(text: str) -> list[str]:
@@ -58,6 +60,44 @@ def paragraphs(text: str) -> Iterator[tuple[int, list[str]]]:
             yield i, found[at : at + WINDOW]
 
 
+def blocks(text: str) -> Iterator[tuple[list[int], list[str]]]:
+    """(line number of each word, words) of each run of two or more lines with words.
+
+    Comment marks are no words, but for those of batch and macro files.
+    """
+    lines: list[int] = []
+    found: list[str] = []
+    for i, line in enumerate([*text.split("\n"), ""]):
+        own = tokens(REMARK.sub("", line))
+        if own:
+            lines += [i] * len(own)
+            found += own
+        elif found:
+            if lines[0] != lines[-1]:
+                yield lines, found
+            lines, found = [], []
+
+
+def wrapped(lines: list[int], found: list[str], template: set[tuple[str, str]], overlap: float) -> Iterator[tuple[int, int]]:
+    """Spans of the words of a block, beyond one line, that have so large a share of the template's pairs."""
+    both = list(zip(found, found[1:]))
+    at = [i for i, x in enumerate(both) if x in template]
+    done = 0
+    for k, i in enumerate(at):
+        if i < done:
+            continue
+        seen, stop = set(), i
+        for j in at[k:]:
+            if j - i > 2 * WINDOW:
+                break
+            if both[j] not in seen:
+                seen.add(both[j])
+                stop = j + 2
+        if len(seen) >= overlap * len(template) and lines[i] != lines[stop - 1]:
+            yield i, stop
+            done = i + max(1, (stop - i) // 4)
+
+
 def ngrams(found: list[str]) -> Iterator[str]:
     yield from found
     for n in range(2, ORDERS + 1):
@@ -207,8 +247,8 @@ def train(docs: DataFrame, most: int = 600, text_col: str = "text", **options) -
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, n_paragraphs, n_licence, families, score): lines, lines with a confirmed family, the families by
-    name and the largest probability of a confirmed one (0 without)."""
+    """(``id_col``, n_paragraphs, n_licence, families, score): lines, lines with a confirmed family or a part of a wrapped
+    notice of one, the families by name and the largest probability of a confirmed one (0 without)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,13 +257,22 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             lines, licensed, families, best = [], [], [], []
             for t in b.column(1):
                 seen, hits, names, score = set(), set(), set(), 0.0
-                for i, found in paragraphs(t.as_py() or ""):
+                text = t.as_py() or ""
+                for i, found in paragraphs(text):
                     seen.add(i)
                     family, p = own.classify(found)
                     if family != UNKNOWN:
                         hits.add(i)
                         names.add(family)
                         score = max(score, p)
+                for at, found in blocks(text):
+                    for template in own.reached(set(zip(found, found[1:]))):
+                        for first, stop in wrapped(at, found, template, own.overlap):
+                            family, p = own.classify(found[first:stop])
+                            if family != UNKNOWN:
+                                hits.update(at[first:stop])
+                                names.add(family)
+                                score = max(score, p)
                 lines.append(len(seen))
                 licensed.append(len(hits))
                 families.append(",".join(sorted(names)))

@@ -137,6 +137,21 @@ def test_licences_in_corpora_that_use_their_words():
     assert of("All rights reserved.") == "all-rights-reserved" and {of(x) for x in lines} == {licenses.UNKNOWN}
 
 
+def test_licences_wrapped_at_80_columns(spark):
+    import textwrap
+
+    model = licenses.fit(["the river runs under the old bridge", "we may use all of the files without a word"] * 20)
+    rows, want = [], {}
+    for family, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            for mark in ("", "# ", " * ", "// ", "REM "):
+                want[len(rows)] = family
+                rows.append((len(rows), "\n".join(["int before = 1;", mark.strip(), *textwrap.wrap(t, 80, initial_indent=mark, subsequent_indent=mark), "", "after = 2"])))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    assert [(rows[i][1], got[i]["families"]) for i in want if want[i] not in got[i]["families"].split(",")] == []
+    assert all(got[i]["n_licence"] <= got[i]["n_paragraphs"] for i in want)
+
+
 # Pages
 
 LONG = "A paragraph of running text that says enough to be a part of the story, and then some more. " * 4
