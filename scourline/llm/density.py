@@ -3,8 +3,9 @@
 Every node of the page gets its characters per tag, adjusted for the share of them that stands in links (of the node and
 of the whole body). A node's density sum is the sum of its children's densities; the subtree with the largest sum is
 the article. The least density on the way from that node to the body is the threshold: neighbours of the article that
-reach it belong to the text, and an ``article`` or ``main`` element around the node is taken whole. Elements that say they
-are something else (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) never count.
+reach it belong to the text unless they are lists of links, and an ``article`` or ``main`` element around the node is taken
+whole. Elements that say they are something else (menus, headers, footers, sidebars, notices, adverts, forms, comments,
+scripts, styles) never count; by a class, id or role only if the text of the page is not in them.
 
 Blocks are joined by one newline; white space within a block is one space; character references are decoded; ``br`` ends
 a block. A null or empty page has the empty text. Unclosed elements, stray end tags and a page cut off within a tag are
@@ -45,6 +46,8 @@ SAYS = frozenset(words(
     "respond reply replies disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search "
     "pagination pager widget toolbar skip hidden tags"
 ))
+#: Words of a token that tells how the element is laid out or what it holds, as in has-sidebar, no-comments, search-result.
+LAYOUT = frozenset(words("has have with without no not is left right layout content main post entry article page story result results body wrap wrapper"))
 #: A start tag closes these open elements, up to the nearest of the fences.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CLOSES |= {t: ({"p"}, {"td", "th", "table", "button", "caption", "object"}) for t in BLOCK - {"br", "li", "dt", "dd", "tr", "td", "th", "option", "optgroup", "body", "html", "caption", "tbody", "thead", "tfoot", "button", "select"}}
@@ -52,16 +55,26 @@ HEADINGS = frozenset(words("h1 h2 h3 h4 h5 h6"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "other", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "other", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, other: bool) -> None:
-        self.tag, self.parent, self.other = tag, parent, other
+        self.tag, self.parent, self.other, self.named = tag, parent, other, False
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
+def _names(value: str) -> bool:
+    """Whether a class, id or role is that of something else; a token with a word of LAYOUT only says what is around."""
+    for token in value.split():
+        own = {w.lower() for w in WORD.findall(token)}
+        if not SAYS.isdisjoint(own) and LAYOUT.isdisjoint(own):
+            return True
+    return False
+
+
 def _says_other(tag: str, attributes: str, parent: Node) -> bool:
+    """Whether the element is something else for certain: by its tag, or hidden."""
     if tag in OTHER:
         return True
     if tag == "header":  # an article's own header holds its title
@@ -79,9 +92,20 @@ def _says_other(tag: str, attributes: str, parent: Node) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif not SAYS.isdisjoint(w.lower() for w in WORD.findall(value)):
+    return False
+
+
+def _named_other(tag: str, attributes: str) -> bool:
+    """Whether the element's names say that it is something else."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    for m in HINT.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name not in ("class", "id", "role"):
+            continue
+        if _names(value):
             return True
-        elif name == "role" and value.lower() == "banner" or name != "role" and re.search(r"(?:^|\s)(?:site|page|top|global)[-_]?header|(?:^|\s)header(?:\s|$)", value, re.I):
+        if name == "role" and value.lower() == "banner" or name != "role" and re.search(r"(?:^|\s)(?:site|page|top|global)[-_]?header|(?:^|\s)header(?:\s|$)", value, re.I):
             return True
     return False
 
@@ -127,6 +151,7 @@ def parse(page: str) -> list[Node]:
             while here.tag not in ("#root", "html"):
                 here = here.parent
         node = Node(tag, here, here.other or _says_other(tag, attributes or "", here))
+        node.named = not node.other and _named_other(tag, attributes or "")
         here.parts.append(node)
         nodes.append(node)
         if tag in RAW and not (attributes or "").endswith("/"):
@@ -137,6 +162,42 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def _settle(nodes: list[Node]) -> None:
+    """Named elements and all in them become other, but for those that hold the text: next to nothing of the page is
+    outside of what is named, or an ``article`` or ``main`` inside is larger than all that."""
+    named = [n for n in nodes if n.named]
+    if not named:
+        return
+    own, inner, largest = {}, {}, {}
+    for n in reversed(nodes):  # characters out of links, then of the largest article inside
+        if n.other or n.tag == "a":
+            continue
+        own[n] = own.get(n, 0) + sum(len("".join(x.split())) for x in n.parts if isinstance(x, str))
+        inner[n] = own[n] + inner.get(n, 0)
+        best = max(largest.get(n, 0), inner[n] if n.tag in ("article", "main") else 0)
+        if n.parent is not None:
+            inner[n.parent] = inner.get(n.parent, 0) + inner[n]
+            largest[n.parent] = max(largest.get(n.parent, 0), best)
+    inside: dict[Node, bool] = {}
+    outside = 0
+    for n in nodes:
+        inside[n] = n.named or n.parent is not None and inside[n.parent]
+        if not inside[n]:
+            outside += own.get(n, 0)
+    for n in nodes:  # parents before their children
+        if n.parent is not None and n.parent.other:
+            n.other = True
+        elif n.named:
+            if 20 * outside < inner.get(n, 0) or largest.get(n, 0) > outside:
+                stack = [n]
+                while stack:  # what it holds by itself now is outside
+                    at = stack.pop()
+                    outside += own.get(at, 0)
+                    stack += [x for x in at.parts if isinstance(x, Node) and not x.named]
+            else:
+                n.other = True
+
+
 def weigh(nodes: list[Node]) -> Node:
     """Fills in all densities and sums; gives the body, or the root of a page without one."""
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
@@ -174,6 +235,7 @@ def _listed(n: Node) -> bool:
 
 def article(nodes: list[Node]) -> list[Node]:
     """The subtrees that hold the main text, in page order."""
+    _settle(nodes)
     body = weigh(nodes)
     inside = [n for n in nodes[nodes.index(body) :] if not n.other and n.chars]
     if not inside:
@@ -221,7 +283,7 @@ def blocks(top: list[Node]) -> list[str]:
                 i += 1
                 if isinstance(part, str):
                     line.append(part)
-                elif not part.other and (part is n or not _listed(part)):
+                elif not part.other:
                     stack += [(node, i), (part, 0)]
                     break
                 elif part.tag in BLOCK:

@@ -177,6 +177,15 @@ def test_pages(page, text):
     assert density.extract(page) == text
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content-with-sidebar", "no-comments", "post has-share search-result", "page sidebar"])
+def test_wrappers_named_after_what_is_beside_the_text(name):
+    inner = f"<h1>Head</h1><p>{LONG}</p><ol><li><a href=a>A reference</a></li><li><a href=b>Another one</a></li></ol><p>{LONG}</p>"
+    text = "\n".join(["Head", LONG.strip(), "A reference", "Another one", LONG.strip()])
+    rest = f"<div class=sidebar>side {LONG}</div><div id=comments><p>{LONG * 5}</p></div>"
+    assert density.extract(f"<body><div class='{name}'><article>{inner}</article>{rest}</div><p>foot</p></body>") == text
+    assert density.extract(f"<body><div class='{name}'><div class=text>{inner}</div>{rest}</div></body>") == text
+
+
 def test_page_table(spark):
     pages = spark.createDataFrame([(i, "u" if i else None, p, "x") for i, (p, _) in enumerate(PAGES)], "page_id bigint, url string, html string, text string")
     got = {r["page_id"]: r for r in density.main_text(pages).collect()}
