@@ -251,18 +251,39 @@ def discount_range(df: DataFrame, field: str) -> Column:
     return F.coalesce(known | F.coalesce(share, F.lit(False)), F.lit(True))
 
 
-def nearest_categories(df: DataFrame, field: str, least: float = 0.8, most: int = 200) -> DataFrame:
+def _spelling_keys(least: float) -> Column:
+    """Keys (longest, gram) of a ``value``: two values whose edit-distance ratio is ``least`` or more share one.
+
+    With the longer one of ``longest`` characters, at most k = (1 - least) * longest edits lie between them, each of which
+    takes two pairs of letters, so they share longest - 1 - 2 k pairs (or longest - k letters where that is nothing), and
+    of so many at least one is among the first of either's, in the order of hashes.
+    """
+    if least <= 0:
+        return F.expr("array(named_struct('longest', 0, 'gram', 0L))")
+    grams = lambda q: (
+        f"if(char_length(value) < {q}, cast(array() as array<bigint>), array_sort(transform(transform(sequence(1, greatest(char_length(value) - {q - 1}, 1)), i -> "
+        f"struct(i, substr(value, i, {q}) as g)), x -> xxhash64(x.g, size(filter(sequence(1, x.i), j -> substr(value, j, {q}) = x.g))))))"
+    )
+    k = f"cast(floor({1 - least!r} * m + 1e-9) as int)"
+    first = lambda g, share: f"slice({g}, 1, greatest(0, size({g}) - ({share}) + 1))"
+    chosen = f"if(m - 1 - 2 * {k} > 0, {first('g2', f'm - 1 - 2 * {k}')}, {first('g1', f'm - {k}')})"
+    lengths = f"sequence(char_length(value), cast(floor(char_length(value) / {least!r} + 1e-9) as int))"
+    keys = f"flatten(transform({lengths}, m -> transform({chosen}, x -> named_struct('longest', m, 'gram', x))))"
+    return F.expr(keys.replace("g2", grams(2)).replace("g1", grams(1)))
+
+
+def nearest_categories(df: DataFrame, field: str, least: float = 0.8) -> DataFrame:
     """Rare spellings replaced by the most frequent value whose edit-distance ratio is ``least`` or more.
 
-    Only the ``most`` most frequent values are targets, so the table of pairs is bounded by them times the distinct
-    values, never by the rows.
+    Every more frequent value is a target; only values that share a key of their letters are compared.
     """
     c = F.col(f"`{field}`")
     counts = df.where(c.isNotNull()).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    targets = counts.orderBy(F.desc("n"), "value").limit(most).select(F.col("value").alias("target"), F.col("n").alias("target_n"))
+    keyed = keep(counts.select("value", "n", F.explode(_spelling_keys(least)).alias("key")).select("value", "n", "key.*"), "spellings")
+    targets = keyed.select(F.col("value").alias("target"), F.col("n").alias("target_n"), "longest", "gram")
     ratio = 1 - F.levenshtein("value", "target") / F.greatest(F.char_length("value"), F.char_length("target"), F.lit(1))
-    better = (F.col("target_n") > F.col("n")) & (ratio >= least)
-    pairs = counts.join(F.broadcast(targets), better).groupBy("value").agg(F.max_by("target", F.struct("target_n", "target")).alias("target"))
+    better = keyed.join(targets, ["longest", "gram"]).where((F.col("target_n") > F.col("n")) & (ratio >= least))
+    pairs = better.groupBy("value").agg(F.max_by("target", F.struct("target_n", "target")).alias("target"))
     joined = df.join(pairs, c == F.col("value"), "left")
     return joined.select(*[F.coalesce("target", c).alias(x) if x == field else F.col(f"`{x}`") for x in df.columns])
 

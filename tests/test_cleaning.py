@@ -1,5 +1,8 @@
 """Cleaning rules on small tables with known results."""
 
+import random
+from collections import Counter
+
 import datetime
 
 import pytest
@@ -154,3 +157,29 @@ def test_nearest_categories(spark):
     df = spark.createDataFrame([("signup",)] * 5 + [("signpu",), ("purchase",), (None,)], "k string")
     out = values(C.nearest_categories(df, "k", 0.6), "k")
     assert out.count("signup") == 6 and out.count("purchase") == 1 and out.count(None) == 1
+
+
+def test_nearest_categories_beyond_200(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        word = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12)))
+        rows += [word] * rng.randint(2, 5)
+        at = rng.randrange(len(word))
+        rows.append(word[:at] + rng.choice(["", "x", word[at] + "y"]) + word[at + 1 :])
+    n = Counter(rows)
+
+    def distance(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, line[0] = line[0], i
+            for j, y in enumerate(b, 1):
+                last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (x != y))
+        return line[-1]
+
+    for least in (0.8, 0.6):
+        want = Counter()
+        for v, k in n.items():
+            better = [(n[t], t) for t in n if n[t] > k and 1 - distance(v, t) / max(len(v), len(t), 1) >= least]
+            want[max(better)[1] if better else v] += k
+        assert Counter(values(C.nearest_categories(spark.createDataFrame([(r,) for r in rows], "k string"), "k", least), "k")) == want
