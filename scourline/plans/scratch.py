@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -34,3 +35,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/scourline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, row_bytes: int = 96, limit: int = 48 << 20) -> DataFrame:
+    """A table from ``keep`` for the right side of a join: broadcast while its rows are measured to fit, else sorted and merged."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df.hint("merge")
