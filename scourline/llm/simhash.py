@@ -16,6 +16,7 @@ names a component while an id of the same component is known.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,14 +24,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scourline.plans.scratch import keep
+from scourline.plans.scratch import keep, sized
 
 BITS = 64
 #: First bit and width of each of the six blocks.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 #: Fingerprints that one meeting place may bring into one task.
 CROWD = 8192
+#: Rows that a key may have in a join by that key; the others are looked up in a broadcast table.
+HOT = 1 << 17
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -137,10 +141,11 @@ def _through_points(fps: DataFrame, most: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for fp in b.column(0).to_numpy():
-                points = np.concatenate([fp ^ signed[0], fp ^ signed[1]])
-                close = np.arange(len(points)) < len(signed[0])
-                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(np.full(len(points), fp)), pa.array(close)], ["point", "fp", "close"])
+            every, flips = b.column(0).to_numpy(), np.concatenate(signed)
+            for at in range(0, len(every), 32):
+                fp = every[at : at + 32]
+                close = np.tile(np.arange(len(flips)) < len(signed[0]), len(fp))
+                yield pa.RecordBatch.from_arrays([pa.array((fp[:, None] ^ flips).ravel()), pa.array(np.repeat(fp, len(flips))), pa.array(close)], ["point", "fp", "close"])
 
     at = fps.mapInArrow(run, "point bigint, fp bigint, close boolean").groupBy("point")
     met = at.agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("u"), F.collect_set("fp").alias("fps"))
@@ -167,18 +172,29 @@ def _digest(df: DataFrame) -> tuple:
     return tuple(row)
 
 
+def looked_up(left: DataFrame, right: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and says in ``n`` how many rows of ``left`` have it.
+
+    Keys of more than ``hot`` rows, of which there are at most the rows of ``left`` over ``hot``, are broadcast, so no task
+    gets all rows of a hot key.
+    """
+    many = right.where(F.col("n") > hot).drop("n")
+    rest = left.join(F.broadcast(many.select(key)), key, "left_anti").join(right.where(F.col("n") <= hot).drop("n"), key)
+    return left.join(F.broadcast(many), key).unionByName(rest)
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """(a, b): every node a of the graph but the least of its component, with that least node b.
 
-    Alternates large and small stars until nothing changes, each round a written table. A round uses minima per node
-    only, so a hub's neighbours never meet in one place.
+    Alternates large and small stars until nothing changes, each round a written table. A round needs the minimum of each
+    node's neighbours, which is combined before the shuffle, and hands it to the neighbours; a hub's is broadcast.
     """
     now = keep(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct(), "edges")
     mark = _digest(now)
     while mark[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = keep(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = keep(looked_up(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = keep(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
@@ -191,19 +207,21 @@ def stars(edges: DataFrame) -> DataFrame:
 def components(fps: DataFrame, id_col: str = "doc_id", most: int = 3, crowd: int = CROWD) -> DataFrame:
     """(``id_col``, fp, component_id): component_id is the least id reachable by links of at most ``most`` bits."""
     fps = keep(fps.select(F.col(id_col).alias("id"), "fp"), "fingerprints")
-    distinct = keep(fps.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    distinct = keep(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct")
     star = stars(links(distinct.select("fp"), most, crowd))
-    named = distinct.join(star, F.col("fp") == F.col("a"), "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = keep(named.join(least, "root").select("fp", "component_id"), "component")
-    return fps.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = distinct.join(star, F.col("fp") == F.col("a"), "left").select("fp", "rows", "first", F.coalesce("b", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of = keep(looked_up(named, least, "root").select("fp", "component_id", F.col("rows").alias("n")), "component")
+    return looked_up(fps, of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 # Similar documents: a longer fingerprint for links far beyond 3 bits.
 
-TABLES, SLOT = 12, 16
+TABLES, SLOT = 16, 16
 #: Texts of so few shingles are compared with all others on the shingles: their bits do not follow the law of large sets.
 FEW = 64
+#: Members of a crowded family that stand beside each of its parts, so that the parts of one dense group find each other.
+PIVOTS = 32
 
 
 def shingles(text: bytes, width: int = 5, seed: int = 42) -> set[int]:
@@ -218,7 +236,7 @@ def shingles(text: bytes, width: int = 5, seed: int = 42) -> set[int]:
 
 
 def wide_fingerprint(found: set[int]) -> np.ndarray:
-    """12 signed 64-bit SimHashes of a set of shingles, each under hashes of its own."""
+    """16 signed 64-bit SimHashes of a set of shingles, each under hashes of its own."""
     if not found:
         return np.zeros(TABLES, np.int64)
     h = np.fromiter(found, np.uint64, len(found))
@@ -236,18 +254,20 @@ def wide_fingerprint(found: set[int]) -> np.ndarray:
 
 
 def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, most: int = FEW, seed: int = 42) -> DataFrame:
-    """(id, fps, few) for every row: few has the shingles in order if they are ``most`` at most, else it is null."""
+    """(id, mark, fps, few) for every row: mark is a hash of the text, few has the shingles in order if they are ``most`` at
+    most, else it is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py() or b"", width, seed) for t in b.column(1).cast(pa.binary())]
+            sets = [shingles(t.as_py() or b"", width, seed) for t in b.column(2).cast(pa.binary())]
             fps = [wide_fingerprint(x) for x in sets]
             flat = pa.array(np.concatenate(fps) if fps else np.zeros(0, np.int64))
             few = [np.sort(np.fromiter(x, np.uint64, len(x)).view(np.int64)) if 0 < len(x) <= most else None for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * TABLES, pa.int32()), flat), pa.array(few, pa.list_(pa.int64()))], ["id", "fps", "few"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * TABLES, pa.int32()), flat), pa.array(few, pa.list_(pa.int64()))], ["id", "mark", "fps", "few"])
 
-    chosen = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id bigint, fps array<bigint>, few array<bigint>")
+    text = F.col(text_col).cast("string")
+    chosen = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return chosen.mapInArrow(run, "id bigint, mark bigint, fps array<bigint>, few array<bigint>")
 
 
 def radius_of(least: float, deviations: float, bits: int = TABLES * BITS) -> int:
@@ -256,20 +276,25 @@ def radius_of(least: float, deviations: float, bits: int = TABLES * BITS) -> int
     return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int, seed: int = 42) -> DataFrame:
-    """(id, shingles): the distinct hashes of each text's shingles."""
+def shingle_sets(df: DataFrame, key_col: str, text_col: str, width: int, seed: int = 42) -> DataFrame:
+    """(key, shingles): the distinct hashes of each text's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.fromiter(shingles(t.as_py() or b"", width, seed), np.uint64).view(np.int64) for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["key", "shingles"])
+
+    few = df.select(F.col(key_col).cast("bigint").alias("key"), F.col(text_col).cast("string").alias("text"))
+    return few.mapInArrow(run, "key bigint, shingles array<bigint>")
 
-    few = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return few.mapInArrow(run, "id bigint, shingles array<bigint>")
+
+def _apart(f: np.ndarray, g: np.ndarray, a, b) -> np.ndarray:
+    return np.bitwise_count(f[a] ^ f[b]).astype(np.int16) + np.bitwise_count(g[a] ^ g[b])
 
 
 def _meet_wide(most: int):
-    """Like ``_meet`` for rows (place, id, f, g) sorted by place: (family, id) for whatever links over two fingerprints connect.
+    """Like ``_meet`` for rows (place, node, f, g) sorted by place: (family, node) for whatever links over two fingerprints
+    connect.
 
     Such links only say who may be alike, so all members of a family stay; families of the same members have one name.
     """
@@ -277,12 +302,26 @@ def _meet_wide(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
-        def families(place, ids, f, g) -> pa.RecordBatch:
+        def met(place, f, g) -> np.ndarray:
+            """Numbers of the places with a link, and of all large ones; the small ones are compared all at once."""
+            nth = np.cumsum(np.concatenate([[0], place[1:] != place[:-1]]))
+            size = np.bincount(nth)
+            found = [np.flatnonzero(size > 32)]
+            small = size[nth] <= 32
+            for d in range(1, 32):
+                at = np.flatnonzero((nth[d:] == nth[:-d]) & small[d:])
+                if not len(at):
+                    break
+                found.append(nth[at[_apart(f, g, at, at + d) <= most]])
+            return np.unique(np.concatenate(found))
+
+        def families(place, nodes, f, g) -> pa.RecordBatch:
+            f, g = f.view(np.uint64), g.view(np.uint64)
             bounds = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]])
             found = {}
-            for i in np.flatnonzero(np.diff(bounds) > 1):
+            for i in met(place, f, g):
                 at = slice(bounds[i], bounds[i + 1])
-                left = np.stack([ids[at].view(np.uint64), f[at].view(np.uint64), g[at].view(np.uint64)])
+                left = np.stack([nodes[at].view(np.uint64), f[at], g[at]])
                 while left.shape[1] > 1:
                     front, left, members = [left[:, 0]], left[:, 1:], [left[0, :1]]
                     while front and left.shape[1]:
@@ -296,75 +335,125 @@ def _meet_wide(most: int):
                         own = np.sort(np.concatenate(members).view(np.int64))
                         found[xxhash.xxh64_intdigest(own.tobytes())] = own
             names = np.repeat(np.array(list(found), np.uint64).view(np.int64), [len(x) for x in found.values()])
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([np.zeros(0, np.int64), *found.values()]))], ["family", "id"])
-
-        with np.errstate(over="ignore"):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-                if held is not None:
-                    now = [np.concatenate(x) for x in zip(held, now)]
-                same = now[0] == now[0][-1]
-                start = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-                held = [x[start:] for x in now]
-                if start:
-                    yield families(*(x[:start] for x in now))
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([np.zeros(0, np.int64), *found.values()]))], ["family", "node"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if held is not None:
-                yield families(*held)
+                now = [np.concatenate(x) for x in zip(held, now)]
+            same = now[0] == now[0][-1]
+            start = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            held = [x[start:] for x in now]
+            if start:
+                yield families(*(x[:start] for x in now))
+        if held is not None:
+            yield families(*held)
 
     return run
 
 
-def _alike(ids: np.ndarray, fps: np.ndarray, few: list[np.ndarray | None], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """One table for each run of equal values in the first column."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, z in zip(cuts, cuts[1:]):
+            if held and key[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, z - a))
+            last = key[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Members:
+    """Members of a family, and who of them is linked to one of them: by the shingles if both have few, else by bits."""
+
+    def __init__(self, t: pa.Table, least: float) -> None:
+        self.least, self.sure, self.most = least, radius_of(least, -4), radius_of(least, 3)
+        self.nodes = t["node"].to_numpy()
+        self.fps = t["fps"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, TABLES)
+        few = [None if x.values is None else x.values.to_numpy() for x in t["few"]]
+        self.size = np.array([0 if x is None else len(x) for x in few])
+        self.has = np.flatnonzero(self.size)
+        if len(self.has):
+            self.kinds, self.codes = np.unique(np.concatenate([few[i] for i in self.has]), return_inverse=True)
+            self.starts = np.concatenate([[0], np.cumsum(self.size[self.has])])
+            self.order = np.zeros(len(few), np.int64)
+            self.order[self.has] = np.arange(len(self.has))
+
+    def linked(self, p: int, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``rest`` are linked to ``p`` for certain, and which may be."""
+        certain, open_ = np.zeros(len(rest), bool), np.zeros(len(rest), bool)
+        both = (self.size[rest] > 0) & (self.size[p] > 0)
+        if both.any():
+            own = np.zeros(len(self.kinds), np.int64)
+            own[self.codes[self.starts[self.order[p]] : self.starts[self.order[p]] + self.size[p]]] = 1
+            shared = np.add.reduceat(own[self.codes], self.starts[:-1])[self.order[rest[both]]]
+            certain[both] = shared >= self.least * (self.size[rest[both]] + self.size[p] - shared)
+        if not both.all():
+            bits = np.bitwise_count(self.fps[rest[~both]] ^ self.fps[p]).sum(1, dtype=np.int64)
+            certain[~both] = bits <= self.sure
+            open_[~both] = (bits > self.sure) & (bits <= self.most)
+        return certain, open_
+
+
+Edges = Iterator[tuple[np.ndarray, np.ndarray, bool]]
+
+
+def _alike(t: pa.Table, least: float, open_pairs: bool) -> Edges:
     """Edges (u, v, sure) of one family. Only links that are certain join members; of the pairs that they leave apart, each
-    that may be alike is given as not sure."""
-    size = np.array([0 if x is None else len(x) for x in few])
-    has = np.flatnonzero(size)
-    if len(has):
-        kinds, codes = np.unique(np.concatenate([few[i] for i in has]), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(size[has])])
-        order = np.zeros(len(ids), np.int64)
-        order[has] = np.arange(len(has))
-    sure, most = radius_of(least, -4), radius_of(least, 3)
-    apart = lambda p, rest: np.bitwise_count(fps[rest] ^ fps[p]).sum(1, dtype=np.int64)
-    group = np.full(len(ids), -1)
-    left = np.arange(len(ids))
+    that may be alike is given as not sure (with ``open_pairs``)."""
+    m = _Members(t, least)
+    group = np.full(len(m.nodes), -1)
+    left = np.arange(len(m.nodes))
     while len(left):
         front, left = [left[0]], left[1:]
         group[front[0]] = front[0]
         while front and len(left):
             p = front.pop()
-            linked = np.zeros(len(left), bool)
-            both = (size[left] > 0) & (size[p] > 0)
-            if both.any():
-                own = np.zeros(len(kinds), np.int64)
-                own[codes[starts[order[p]] : starts[order[p]] + size[p]]] = 1
-                shared = np.add.reduceat(own[codes], starts[:-1])[order[left[both]]]
-                linked[both] = shared >= least * (size[left[both]] + size[p] - shared)
-            if not both.all():
-                linked[~both] = apart(p, left[~both]) <= sure
-            if linked.any():
-                near = left[linked]
+            certain, _ = m.linked(p, left)
+            if certain.any():
+                near = left[certain]
                 group[near] = group[p]
-                yield np.full(len(near), ids[p]), ids[near], True
+                yield np.full(len(near), m.nodes[p]), m.nodes[near], True
                 front += near.tolist()
-                left = left[~linked]
-    if (group == group[0]).all() or len(has) == len(ids):
+                left = left[~certain]
+    if not open_pairs or (group == group[0]).all() or len(m.has) == len(m.nodes):
         return
-    for p in range(len(ids) - 1):
-        rest = np.arange(p + 1, len(ids))
-        rest = rest[(group[rest] != group[p]) & ~((size[rest] > 0) & (size[p] > 0))]
-        near = rest[apart(p, rest) <= most]
+    for p in range(len(m.nodes) - 1):
+        rest = np.arange(p + 1, len(m.nodes))
+        rest = rest[group[rest] != group[p]]
+        near = rest[m.linked(p, rest)[1]]
         if len(near):
-            yield np.full(len(near), ids[p]), ids[near], False
+            yield np.full(len(near), m.nodes[p]), m.nodes[near], False
+
 
+def _between(t: pa.Table, least: float) -> Edges:
+    """Edges (u, v, sure) between the members that ask (each a strange one) and all others of another root."""
+    m = _Members(t, least)
+    root, strange, asks = (t[c].to_numpy(zero_copy_only=False) for c in ("root", "strange", "asks"))
+    everyone = np.flatnonzero(~asks)
+    for p in np.flatnonzero(asks):
+        # Two strange members meet twice, once for each of them.
+        rest = everyone[(root[everyone] != root[p]) & ~(strange[everyone] & (m.nodes[everyone] < m.nodes[p]))]
+        certain, open_ = m.linked(p, rest)
+        for near, sure in ((rest[certain][np.unique(root[rest[certain]], return_index=True)[1]], True), (rest[open_], False)):
+            if len(near):
+                yield np.full(len(near), m.nodes[p]), m.nodes[near], sure
 
-def _compare(least: float):
-    """Streams rows (family, id, fps, few) sorted by family; gives edges (u, v, sure)."""
+
+def _compare(of_family):
+    """Streams rows sorted by their first column, a family; gives the edges that ``of_family`` finds in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         found: list[tuple[np.ndarray, np.ndarray, bool]] = []
         many = 0
 
@@ -374,98 +463,132 @@ def _compare(least: float):
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sure)], ["u", "v", "sure"])
 
-        def families(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            nonlocal many
-            name, ids = (t.column(i).to_numpy() for i in (0, 1))
-            fps = t.column(2).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, TABLES)
-            few = [None if x.values is None else x.values.to_numpy() for x in t.column(3)]
-            bounds = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1).tolist(), len(name)]
-            for a, b in zip(bounds, bounds[1:]):
-                for edge in _alike(ids[a:b], fps[a:b], few[a:b], least):
-                    found.append(edge)
-                    many += len(edge[0])
-                    if many > 100_000:
-                        yield out()
-                        many = 0
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = pa.Table.from_batches([b])
-            name = b.column(0).to_numpy()
-            start = int(np.searchsorted(name, name[-1]))
-            if held is not None and start:
-                yield from families(pa.concat_tables([held, now.slice(0, start)]))
-                held = None
-            elif held is not None and held.column(0)[0].as_py() != name[0]:
-                yield from families(held)
-                held = None
-            elif start:
-                yield from families(now.slice(0, start))
-            held = now.slice(start) if held is None else pa.concat_tables([held, now])
-        if held is not None:
-            yield from families(held)
+        for t in _runs(batches):
+            for edge in of_family(t):
+                found.append(edge)
+                many += len(edge[0])
+                if many > 100_000:
+                    yield out()
+                    many = 0
         if found:
             yield out()
 
     return run
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+_EDGES = "u bigint, v bigint, sure boolean"
+
+
+def _in_order(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(key).sortWithinPartitions(key)
+
+
+def _crowd_edges(members: DataFrame, crowded: DataFrame, calm: DataFrame, least: float, crowd: int) -> DataFrame:
+    """Edges of families (family, n) too large for one task, given the certain edges of all others.
+
+    A family is cut into parts of half a crowd. Each part is compared within itself and with some pivots that stand beside
+    all parts, which gives certain edges and by them a root for every member. Members of the family's most frequent root
+    need no further link among themselves. Every other member is strange: the strange ones are cut into blocks as well, and
+    each block meets each part. No pair of different roots is left out, and no task has more than a crowd.
+    """
+    half = max(1, crowd // 2)
+    own = members.join(F.broadcast(crowded), "family")  # few: a crowd or more of all memberships for each row
+    own = own.withColumns({"parts": F.ceil(F.col("n") / half).cast("int"), "pivot": F.pmod(F.xxhash64("node", F.lit(6)), F.col("n")) < PIVOTS})
+    own = keep(own.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")), "crowd")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    dealt = own.select("family", F.explode(F.when(F.col("pivot"), every).otherwise(F.array("part"))).alias("in"), "node", "fps", "few")
+    dealt = dealt.select(F.xxhash64("family", "in").alias("run"), "node", "fps", "few")
+    within = keep(_in_order(dealt, "run").mapInArrow(_compare(lambda t: _alike(t, least, False)), _EDGES), "crowd-within")
+    star = stars(within.union(calm).where("sure").select("u", "v"))
+    rooted = own.join(star, F.col("node") == F.col("a"), "left").withColumn("root", F.coalesce("b", "node")).drop("a", "b")
+    sizes = keep(rooted.groupBy("family", "root").agg(F.count(F.lit(1)).alias("size")), "crowd-roots")
+    main = sizes.groupBy("family").agg(F.max_by("root", F.struct("size", "root")).alias("main"), (F.sum("size") - F.max("size")).alias("strangers"))
+    rooted = rooted.join(F.broadcast(main), "family").where("strangers > 0")
+    rooted = rooted.withColumns({"strange": F.col("root") != F.col("main"), "blocks": F.ceil(F.col("strangers") / half).cast("int")})
+    rooted = keep(rooted.withColumn("block", F.pmod(F.xxhash64("node", F.lit(8)), F.col("blocks")).cast("int")), "crowd-rooted")
+    ask = rooted.where("strange").select("family", "block", F.explode(every).alias("part"), "node", "fps", "few", "root", "strange", F.lit(True).alias("asks"))
+    all_ = rooted.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "node", "fps", "few", "root", "strange", F.lit(False).alias("asks"))
+    both = ask.union(all_).select(F.xxhash64("family", "block", "part").alias("run"), "node", "fps", "few", "root", "strange", "asks")
+    return within.union(_in_order(both, "run").mapInArrow(_compare(lambda t: _between(t, least)), _EDGES))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(distinct, star): groups of similar texts.
 
-    ``distinct`` has a row (id, fps, n) for each distinct 768-bit fingerprint, with the least id of its texts; ``star`` maps
-    every one of these ids that isn't the least of its group to that least id (a, b).
+    ``distinct`` has a row (node, id, mark, fps, few) for each distinct 1024-bit fingerprint: a number of its own, and the
+    least id of its texts with a hash of that text. ``star`` maps every node but one of each group to that one (a, b).
 
-    Fingerprints meet in 48 blocks of 16 bits; what a Hamming check over 128 bits connects there is a family. Within a
-    family all pairs are compared over all 768 bits; links too close to ``least`` for that are verified on the shingles, and
+    Fingerprints meet in 64 blocks of 16 bits; what a Hamming check over 128 bits connects there is a family. Within a
+    family all pairs are compared over all 1024 bits; links too close to ``least`` for that are verified on the shingles, and
     only links that are certain join members before that. At a similarity of 0.8 two texts share a block with probability
-    0.97, at 0.85 with 0.996.
+    0.99, at 0.85 with 0.9997.
 
     Texts of at most ``FEW`` shingles do not go by bits. They and the texts of up to ``FEW / least``, the largest they can be
     similar to, are a family by each shingle of their prefixes (of two sets of similarity ``least`` the first shingles, so
     many that the rest couldn't make it, share one), and are compared on their shingles there: these links are exact.
 
-    A place and a family are brought whole into one task. Places of many more than a hundred thousand fingerprints ask
-    for wider blocks.
+    A block or a shingle that more than ``crowd`` texts share (or 16 times the mean of all blocks, where that is more) is a
+    crowded family; no task gets it whole, see ``_crowd_edges``.
     """
     each = wide_fingerprints(docs, id_col, text_col, width, int(FEW / least + 1e-9)).where("id is not null")
-    distinct = keep(each.groupBy("fps").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("few").alias("few")), "distinct-wide")
+    grouped = each.groupBy("fps").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("few").alias("few"))
+    distinct = keep(grouped.select("first.id", "first.mark", "fps", "few").withColumn("node", F.monotonically_increasing_id()), "distinct-wide")
     slots = TABLES * (BITS // SLOT)
     per = BITS // SLOT
+    crowd = max(crowd, 16 * distinct.count() // (1 << SLOT))
     own, other = f"fps[cast(s div {per} as int)]", f"fps[cast((s div {per} + 1) % {TABLES} as int)]"
-    row = f"named_struct('place', cast(s as bigint) * 65536 + (shiftrightunsigned({own}, {SLOT} * (s % {per})) & 65535), 'f', {own}, 'g', {other})"
-    filed = distinct.where(f"few is null or size(few) > {FEW}").select("id", F.explode(F.expr(f"transform(sequence(0, {slots - 1}), s -> {row})")).alias("r")).select("r.place", "id", "r.f", "r.g")
-    met = filed.repartition("place").sortWithinPartitions("place").mapInArrow(_meet_wide(radius_of(least, 3.1, 2 * BITS - SLOT)), "family bigint, id bigint")
+    place = f"cast(s as bigint) * 65536 + (shiftrightunsigned({own}, {SLOT} * (s % {per})) & 65535)"
+    by_bits = distinct.where(f"few is null or size(few) > {FEW}")
+    filed = by_bits.select("node", F.explode(F.expr(f"transform(sequence(0, {slots - 1}), s -> named_struct('place', {place}, 'f', {own}, 'g', {other}))")).alias("r")).select("r.place", "node", "r.f", "r.g")
     first = F.expr(f"slice(few, 1, size(few) - cast(ceil({least} * size(few) - 1e-9) as int) + 1)")
-    sharing = distinct.where("few is not null").select("id", F.explode(first).alias("place")).groupBy("place").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    sharing = sharing.where(F.size("ids") > 1).select(F.xxhash64("ids").alias("family"), F.explode("ids").alias("id"))
-    families = keep(met.union(sharing).distinct(), "families")
-    members = families.join(distinct.select("id", "fps", "few"), "id").select("family", "id", "fps", "few")
-    compared = members.repartition("family").sortWithinPartitions("family").mapInArrow(_compare(least), "u bigint, v bigint, sure boolean")
-    near = keep(compared.where("u <> v").groupBy("u", "v").agg(F.max("sure").alias("sure")), "near")
+    shared = distinct.where("few is not null").select("node", F.explode(first).alias("place"))
+    blocks_of = by_bits.select(F.explode(F.expr(f"transform(sequence(0, {slots - 1}), s -> {place})")).alias("place"))
+    hot = [keep(x.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd), "crowded") for x in (blocks_of, shared.select("place"))]
+    some = [not x.isEmpty() for x in hot]
+    named = [x.select("place", F.xxhash64(F.lit(i), "place").alias("family"), "n") for i, x in enumerate(hot)]
+    calm = [x.join(F.broadcast(h.select("place")), "place", "left_anti") if s else x for x, h, s in zip((filed, shared), hot, some)]
+    met = _in_order(calm[0].select("place", "node", "f", "g"), "place").mapInArrow(_meet_wide(radius_of(least, 3.1, 2 * BITS - SLOT)), "family bigint, node bigint")
+    sharing = calm[1].groupBy("place").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
+    families = keep(met.union(sharing.select(F.xxhash64("nodes").alias("family"), F.explode("nodes").alias("node"))).distinct(), "families")
+    texts = distinct.select("node", "fps", "few")
+    members = families.join(texts, "node").select("family", "node", "fps", "few")
+    near = _in_order(members, "family").mapInArrow(_compare(lambda t: _alike(t, least, True)), _EDGES)
+    if any(some):
+        near = keep(near, "calm")
+        crowds = [x.select("place", "node").join(F.broadcast(h), "place").select("family", "node") for x, h, s in zip((filed, shared), named, some) if s]
+        crowded = reduce(DataFrame.union, [h.select("family", "n") for h, s in zip(named, some) if s])
+        near = near.union(_crowd_edges(reduce(DataFrame.union, crowds).join(texts, "node").select("family", "node", "fps", "few"), crowded, near, least, crowd))
+    near = keep(near.where("u <> v").groupBy("u", "v").agg(F.max("sure").alias("sure")), "near")
     open_ = near.where("not sure")
-    asked = keep(open_.select(F.col("u").alias("asked")).union(open_.select("v")).distinct(), "asked")
-    # An id with several texts stands for the first of its shingle sets.
-    sets = shingle_sets(docs.join(asked.hint("merge"), docs[id_col].cast("bigint") == F.col("asked"), "left_semi"), id_col, text_col, width)
-    sets = keep(sets.groupBy("id").agg(F.max("shingles").alias("shingles")), "shingles")
-    a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "uv")
-    shared = F.size(F.array_intersect("set_u", "set_v"))
-    alike = shared >= least * (F.size("set_u") + F.size("set_v") - shared)
+    asked = open_.select(F.col("u").alias("node")).union(open_.select("v")).distinct()
+    asked = keep(distinct.join(asked, "node").select(F.col("id").alias("asked_id"), F.col("mark").alias("asked_mark"), "node"), "asked")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    found = texts.join(sized(asked), (F.col("id") == F.col("asked_id")) & (F.col("mark") == F.col("asked_mark"))).select("node", "text")
+    # Equal rows have equal sets.
+    sets = keep(shingle_sets(found, "node", "text", width).groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
+    a, b = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "uv")
+    both = F.size(F.array_intersect("set_u", "set_v"))
+    alike = both >= least * (F.size("set_u") + F.size("set_v") - both)
     checked = open_.join(a, "u").join(b, "v").where(alike).select("u", "v")
     return distinct, stars(near.where("sure").select("u", "v").union(checked))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with the least id of each group of similar texts only; the columns stay.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """``docs`` with one row of each group of similar texts only, one of the least id of the group; the columns stay.
 
-    Rows that repeat an id and its text stay once. Rows without an id stay: nothing can name them.
+    Texts decide, not ids: an id whose texts are in several groups may stay with one of them and go with another. Of rows
+    that repeat an id and its text, the least one by the other columns stays. Rows without an id stay: nothing can name
+    them. Null texts are empty texts.
     """
-    distinct, star = similar(docs, id_col, text_col, width, least)
-    first = distinct.join(star, F.col("id") == F.col("a"), "left_anti").groupBy(F.col("id").alias("scourline_id")).agg(F.count(F.lit(1)).alias("texts"))
+    distinct, star = similar(docs, id_col, text_col, width, least, crowd)
+    root = distinct.join(star, F.col("node") == F.col("a"), "left").select(F.coalesce("b", "node").alias("root"), "id", "mark")
+    first = root.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("first")).select(F.col("first.id").alias("scourline_id"), F.col("first.mark").alias("scourline_mark"))
     first = keep(first, "representatives")
-    kept = docs.join(first.hint("merge"), docs[id_col].cast("bigint") == F.col("scourline_id"), "left_semi")
-    ids = docs.select(F.col(id_col).cast("bigint").alias("id")).where("id is not null")
-    if not ids.groupBy("id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, text_col])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    orderable = not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in docs.schema.fields)
+    keyed = docs.where(docs[id_col].isNotNull()).select(F.col(id_col).cast("bigint").alias("scourline_id"), F.xxhash64(F.col(text_col).cast("string")).alias("scourline_mark"), own.alias("scourline_row"))
+    # Copies are combined before the shuffle, which is the one that the join needs.
+    unique = keyed.groupBy("scourline_id", "scourline_mark").agg((F.min if orderable else F.first)("scourline_row").alias("scourline_row"))
+    kept = unique.join(first.hint("merge"), ["scourline_id", "scourline_mark"], "left_semi").select("scourline_row.*")
     return kept.union(docs.where(docs[id_col].isNull()))

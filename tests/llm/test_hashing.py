@@ -147,6 +147,58 @@ def test_short_similar_texts_are_all_found(spark, make):
     assert {r["doc_id"] for r in simhash.deduplicate(make(texts)).collect()} == brute_groups(texts) == set(range(0, len(texts), 2))
 
 
+def test_hot_fingerprints_are_looked_up(spark, monkeypatch):
+    rng = random.Random(2)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 2, 3]), i) for i in range(50)], "k bigint, i bigint")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("m"))
+    want = sorted(map(tuple, left.join(right.drop("n"), "k").select("k", "i", "m").collect()))
+    for hot in (1, 12, 100):
+        assert sorted(map(tuple, simhash.looked_up(left, right, "k", hot).select("k", "i", "m").collect())) == want
+
+
+@pytest.mark.parametrize("templates, each, least, most, crowd", [(1, 400, 5, 9, simhash.CROWD), (1, 400, 5, 9, 40), (2, 250, 4, 9, simhash.CROWD), (4, 120, 3, 8, simhash.CROWD)])
+def test_near_copies_among_documents_of_one_template(spark, make, templates, each, least, most, crowd):
+    """With crowd 40, most of the templates' blocks are crowded and go by parts."""
+    rng = random.Random(templates)
+    texts = []
+    for _ in range(templates):
+        base = [f"b{rng.getrandbits(40)}" for _ in range(400)]
+        texts += [" ".join(changed(rng, base, rng.randint(least, most))) for _ in range(each)]
+    want = brute_groups(texts)
+    got = {r["doc_id"] for r in simhash.deduplicate(make(texts), crowd=crowd).collect()}
+    assert got >= want  # no document goes that brute force keeps
+    assert len(texts) - len(got) >= 0.98 * (len(texts) - len(want))
+
+
+def test_near_copies_of_pairs(spark, make):
+    rng = random.Random(21)
+    texts = []
+    for n in (120, 250, 400):
+        for _ in range(60):
+            words = [f"b{rng.getrandbits(40)}" for _ in range(n)]
+            texts += [" ".join(words), " ".join(changed(rng, words, n // 100))]
+    want = brute_groups(texts)
+    got = {r["doc_id"] for r in simhash.deduplicate(make(texts)).collect()}
+    assert got >= want and len(texts) - len(got) >= 0.98 * (len(texts) - len(want))
+
+
+def test_crowds_of_short_texts(spark, make):
+    """A third of the rows share their first shingles; the parts of the crowd are compared with all others."""
+    rng = random.Random(22)
+    same = " ".join(f"s{i}" for i in range(7))
+    texts = [f"{same} {rng.choice(['x', 'y'])} t{rng.randrange(30)} u{rng.randrange(3)}" for _ in range(60)] + [prose(rng, 12) for _ in range(120)]
+    want = brute_groups(texts)
+    for crowd in (simhash.CROWD, 8, 2):
+        assert {r["doc_id"] for r in simhash.deduplicate(make(texts), crowd=crowd).collect()} == want
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rng = random.Random(23)
+    a, b, c = (" ".join(f"b{rng.getrandbits(40)}" for _ in range(100)) for _ in range(3))
+    df = spark.createDataFrame([(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (7, c, "z"), (7, c, "y")], "doc_id bigint, text string, mark string")
+    assert sorted(map(tuple, simhash.deduplicate(df).collect())) == sorted([(1, a, "x"), (5, b, "x"), (7, c, "y")])
+
+
 def brute_order_minhash(text, k, width, sketches):
     codes = [ord(c) for c in text]
     h = orderminhash.kmers(np.array(codes, np.uint32), k)
