@@ -186,6 +186,56 @@ def test_wrappers_named_after_what_is_beside_the_text(name):
     assert density.extract(f"<body><div class='{name}'><div class=text>{inner}</div>{rest}</div></body>") == text
 
 
+ONE = LONG.strip()
+INNER = f"<h1>Head</h1><p>{LONG}</p><section id='related-work'><h2>Related work</h2><p>{LONG}</p></section><section id='discussion'><h2>Discussion</h2><p>{LONG}</p></section><p class='share-price'>The share price rose.</p><div class='related'><a href=1>Read this too</a> <a href=2>And this</a></div><div class='ad-slot'>buy {LONG}</div><h2>Sources</h2><ul><li><a href=a>One source</a></li><li><a href=b>Another one</a></li></ul>"
+SAID = "\n".join(["Head", ONE, "Related work", ONE, "Discussion", ONE, "The share price rose.", "Sources", "One source", "Another one"])
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section"])
+def test_names_and_lists_within_the_article(tag):
+    menu = "<div id=top><a href=/>Home</a> <a href=/x>About</a></div>"
+    assert density.extract(f"<body>{menu}<{tag}>{INNER}</{tag}><footer>foot</footer></body>") == SAID
+    assert density.extract(f"<body><form action=x>{menu}<{tag}>{INNER}</{tag}<input name=q></form></body>") == SAID
+    sections = f"<section><h2>A</h2>{f'<p>{LONG}</p>' * 3}</section><section><h2>B</h2><p>{LONG}</p><p>Short.</p></section>"
+    assert density.extract(f"<body>{menu}<{tag}>{sections}</{tag}></body>").split("\n") == ["A", ONE, ONE, ONE, "B", ONE, "Short."]
+    two = f"<{tag}><h2>A</h2><p>{LONG}</p><p>{LONG}</p></{tag}><{tag}><h2>B</h2><p>{LONG}</p></{tag}>"
+    assert density.extract(f"<body>{menu}<div>{two}</div><div class=comments><p>{LONG}</p></div></body>").split("\n") == ["A", ONE, ONE, "B", ONE]
+
+
+def test_densities_of_a_small_tree():
+    import math
+
+    nodes = density.parse("<body><div>ab<p>cdef</p><p>gh <a href=x>ij</a></p></div></body>")
+    density.weigh(nodes)
+    of = {}
+    for n in nodes:
+        of.setdefault(n.tag, []).append(n)
+    share = 2 / 10  # characters in links, of all
+
+    def plain(c, t, lc, lt):
+        base = math.log(c / (max(1, c - lc)) * lc + share * c + math.e)
+        return c / max(1, t) * math.log(c / max(1, lc) * max(1, t) / max(1, lt)) / math.log(base)
+
+    div, (p, q), a = of["div"][0], of["p"], of["a"][0]
+    assert (div.chars, div.tags, div.link_chars, div.link_tags) == (10, 3, 2, 1) and (a.chars, a.link_chars) == (2, 2)
+    for n, want in ((div, plain(10, 3, 2, 1)), (p, plain(4, 0, 0, 0)), (q, plain(4, 1, 2, 1))):
+        assert n.density == pytest.approx(want)
+    assert div.total == pytest.approx(p.density + q.density + div.density * 2 / 10)
+
+
+@pytest.mark.parametrize("unit", ["<a ", "</b>", "<p>", '<a "', "<x y='", "<!--", "<![CDATA[", "<td><b>", "<header>", "<form class=ad>", "<b></i>"])
+def test_broken_pages_take_time_in_proportion(unit):
+    import time
+
+    took = []
+    for size in (100_000, 800_000):
+        began = time.process_time()
+        assert isinstance(density.extract(unit * (size // len(unit)) + "end"), str)
+        took.append(time.process_time() - began)
+    assert took[1] < 8
+    assert density.extract("<div>" * 50_000 + "deep" + "</b>" * 50_000) == "deep"
+
+
 def test_page_table(spark):
     pages = spark.createDataFrame([(i, "u" if i else None, p, "x") for i, (p, _) in enumerate(PAGES)], "page_id bigint, url string, html string, text string")
     got = {r["page_id"]: r for r in density.main_text(pages).collect()}
@@ -200,6 +250,7 @@ def test_page_query_keeps_articles_whole(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = {r["page_id"]: r["text"] for r in queries.QUERIES["op6_text_density"](spark, SF).collect()}
     for i, page in pages.items():
+        assert density.extract(page.replace("article>", "div>")) == got[i]  # density decides, not the tag
         inner = page.split("<article>", 1)[1].split("</article>")[0]
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1|br)>", inner)]
         assert got[i] == "\n".join(x for x in parts if x)
