@@ -184,6 +184,6 @@ WHERE a.d <> b.d OR a.stop <> b.stop OR a.size <> b.size
 
 @query
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_paragraphs, n_licence, families, score for every document."""
+    """doc_id, n_paragraphs, n_licence, families, score, unknown, matches for every document."""
     docs = table(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.train(docs))

@@ -1,6 +1,7 @@
 """Trained operators by held-out accuracy, page extraction by known pages, the pipeline by a plain version."""
 
 import random
+import re
 import zlib
 
 import public_tokenizers
@@ -152,6 +153,46 @@ def test_licences_wrapped_at_80_columns(spark):
     assert all(got[i]["n_licence"] <= got[i]["n_paragraphs"] for i in want)
 
 
+@pytest.fixture(scope="module")
+def background(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    rng = random.Random(1)
+    lines = [[" ".join(w) for _, w in licenses.paragraphs(t or "")] for t in texts]
+    return [rng.choice(x) for x in lines if x]
+
+
+def test_short_notices(background):
+    model = licenses.fit(background[:400])
+    of = lambda t: model.classify(licenses.tokens(t))
+    want = {"MIT License": "mit", "This project is MIT licensed": "mit", "Apache License, Version 2.0": "apache", "Apache 2.0": "apache", "GPLv2 or later": "gpl", "GNU GPL version 2": "gpl", "Released under GPLv3": "gpl", "BSD 2-Clause": "bsd", "See LICENSE for the terms of the BSD license": "bsd", "CC BY-SA 3.0": "cc-by-sa"}
+    assert {t: of(t)[0] for t in want} == want
+    for t in ("a licence to kill", "Licensed under the Foo License.", "permission denied", "He studied at MIT and has a driving license", "all rights", "the Apache people", "copyright", ""):
+        family, likeliest, unknown = of(t)
+        assert family == licenses.UNKNOWN and 0 <= likeliest + unknown <= 1 + 1e-9
+
+
+def test_templates_held_out_of_the_training(background):
+    """Each template in a fold of five that isn't learnt from. Some have hardly a word in common with any other."""
+    every = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in [*ts, *licenses.SHORT.get(f, ())]]
+    found = named = alarms = 0
+    for k in range(5):
+        model = licenses.fit(background[:400], frozenset(t for i, (_, t) in enumerate(every) if i % 5 == k))
+        got = [(f, model.classify(licenses.tokens(t))[0]) for i, (f, t) in enumerate(every) if i % 5 == k]
+        found += sum(a == b for a, b in got)
+        named += sum(b != licenses.UNKNOWN for _, b in got)
+        alarms += sum(model.classify(licenses.tokens(t))[0] != licenses.UNKNOWN for t in background[400:] if not re.search("(?i)licen|rights|public|apache|gnu|mit ", t))
+    assert found >= 0.6 * len(every) and named - found <= 0.1 * len(every) and alarms == 0
+
+
+def test_places_of_matches(spark):
+    model = licenses.fit(["the river runs under the old bridge"] * 30)
+    df = spark.createDataFrame([(1, "first\nMIT License\n\nThis Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."), (2, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df, model).collect()}
+    assert got[1]["families"] == "mit,mpl" and (1, 1, "mit") in [(m["line"], m["last_line"], m["family"]) for m in got[1]["matches"]]
+    assert any((m["line"], m["last_line"], m["family"]) == (3, 5, "mpl") for m in got[1]["matches"]) and got[1]["unknown"] < 0.1
+    assert (got[2]["matches"], got[2]["unknown"], got[2]["score"]) == ([], 1.0, 0.0)
+
+
 # Pages
 
 LONG = "A paragraph of running text that says enough to be a part of the story, and then some more. " * 4
@@ -245,7 +286,6 @@ def test_page_table(spark):
 
 def test_page_query_keeps_articles_whole(spark):
     import html
-    import re
 
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = {r["page_id"]: r["text"] for r in queries.QUERIES["op6_text_density"](spark, SF).collect()}
