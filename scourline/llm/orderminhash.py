@@ -12,11 +12,12 @@ fingerprints. A text with fewer numbered k-mers than ``width`` keeps all it has.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, WIDTH, SKETCHES = 8, 2, 64
@@ -118,39 +119,64 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def cuts(df: DataFrame, key: str, parts: int) -> list[int]:
-    """Keys that exist, descending from the largest, which cut the rows into about ``parts`` equal ranges."""
-    row = df.agg(F.max(key), F.percentile_approx(key, [i / parts for i in range(1, parts + 1)], 100 * parts)).first()
-    return sorted({row[0], *(row[1] or [])}, reverse=True) if row[0] is not None else []
+ROWS = 20_000  # of a range
+
+
+def _numbers(values: list[int]) -> Column:
+    """One constant array, whatever its length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def cuts(df: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """(key, mark) of rows that exist, descending by key, then ascending by mark, which cut the rows into about ``parts``
+    ranges; the first one begins with the first row.
+
+    The keys are quantiles of all keys. A key that takes several of them is cut by equal shares of its marks, which are
+    hashes.
+    """
+    row = df.agg(F.max("key"), F.percentile_approx("key", [i / parts for i in range(1, parts + 1)], max(10_000, 10 * parts))).first()
+    if row[0] is None:
+        return []
+    shares = Counter(row[1] or [])
+    shares[row[0]] += 0
+    wanted = [(k, -(1 << 63) + (i << 64) // max(1, n)) for k, n in shares.items() for i in range(max(1, n))]
+    asked = df.sparkSession.createDataFrame(wanted, "key bigint, least bigint")
+    firsts = df.join(F.broadcast(asked), "key").where("mark >= least").groupBy("key", "least").agg(F.min("mark").alias("mark"))
+    found = {(r["key"], r["mark"]) for r in firsts.collect()}  # at most a row for each range
+    return sorted(found, key=lambda x: (-x[0], x[1]))
 
 
 def with_following(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, k: int = K, width: int = WIDTH, sketches: int = SKETCHES) -> DataFrame:
     """Each text and its edit with the next one by descending id (after the last comes the first).
 
     Gives (``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). The texts are
-    shuffled once: the ids are cut into ranges at ids that exist (``parts`` of them; by default one for 20,000 rows, from
-    64 to 4096), and the first row of a range also closes the range before it. A range streams through its task in
-    order. Rows of equal id are ordered by a hash of their text; null ids come last.
+    shuffled once: the order is cut at rows that exist into ranges (``parts``; by default one for 20,000 rows, 64 at least),
+    each range is a partition of its own, and its first row also closes the range before it. A range streams through its
+    task in order. Rows of equal id are ordered by a hash of their text, and cut by it if they are many; rows that repeat an
+    id and its text stay in one range, where each costs one comparison. Null ids come last.
     """
-    if parts is None:
-        parts = min(4096, max(64, df.count() // 20_000))
     few = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     few = few.withColumn("key", F.coalesce("id", F.lit(-(1 << 63)))).withColumn("mark", F.xxhash64("text"))
-    firsts = cuts(few, "key", parts)
-    marks = {r["key"]: r["mark"] for r in few.where(F.col("key").isin(firsts)).groupBy("key").agg(F.min("mark").alias("mark")).collect()}
-    last = len(firsts) - 1
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in firsts]).cast("array<bigint>"), lambda c: c >= F.col("key"))) - 1
+    if parts is None:
+        parts = max(64, df.count() // ROWS)
+    firsts = cuts(few.select("key", "mark"), parts) or [(0, 0)]
+    keys, marks, n = _numbers([x for x, _ in firsts]), _numbers([x for _, x in firsts]), len(firsts)
+    # How many ranges begin at or before the row, by halving.
+    begun = "(element_at(keys_, mid) > key or element_at(keys_, mid) = key and element_at(marks_, mid) <= mark)"
+    part = f"aggregate(sequence(1, {n.bit_length()}), named_struct('lo', 1, 'hi', {n}), (a, i) -> if(a.lo >= a.hi, a, transform(array(cast((a.lo + a.hi + 1) div 2 as int)), mid -> if({begun}, named_struct('lo', mid, 'hi', a.hi), named_struct('lo', a.lo, 'hi', mid - 1)))[0]), a -> a.lo - 1)"
+    dealt = few.withColumns({"keys_": keys, "marks_": marks}).withColumn("part", F.expr(part))
+    begins = F.expr("element_at(keys_, part + 1) = key and element_at(marks_, part + 1) = mark")
     place = lambda of, closes: F.struct(of.cast("int").alias("part"), F.lit(closes).alias("closes"))
-    before = F.when(part == 0, F.lit(last)).otherwise(part - 1)
-    begins = F.create_map(*[F.lit(x).cast("bigint") for c in firsts for x in (c, marks[c])])[F.col("key")] == F.col("mark") if firsts else F.lit(False)
-    places = F.when(begins, F.array(place(part, False), place(before, True))).otherwise(F.array(place(part, False)))
-    dealt = few.withColumn("place", F.explode(places)).select("id", "text", "key", "mark", "place.part", "place.closes")
-    in_order = dealt.repartition("part").sortWithinPartitions("part", "closes", F.desc("key"), "mark").select("id", "text", "part", "closes")
+    before = F.pmod(F.col("part") + (n - 1), F.lit(n))
+    places = F.when(begins, F.array(place(F.col("part"), False), place(before, True))).otherwise(F.array(place(F.col("part"), False)))
+    dealt = dealt.select("id", "text", "key", "mark", F.explode(places).alias("place")).select("id", "text", "key", "mark", "place.part", "place.closes")
+    in_order = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "closes", F.desc("key"), "mark").select("id", "text", "part", "closes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for the next one: its range, id, text, fingerprint
         names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        again = None  # the last result whose two texts were equal
         for b in batches:
             rows = []
             for row_id, text, own, closes in zip(*(b.column(i) for i in range(4))):
@@ -158,13 +184,17 @@ def with_following(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if closes and (held is None or held[0] != own):
                     continue  # another copy of the row that closed this range
                 text = text.as_py()
-                fp = fingerprint(text, k, width, sketches)
-                if held is not None:
+                same = held is not None and held[2] == text
+                fp = held[3] if same else fingerprint(text, k, width, sketches)
+                if same and again is not None and again[0] == text:
+                    rows.append((held[1], *again[1]))
+                elif held is not None:
                     _, was_id, was, was_fp = held
                     now = edited(was, text)
                     now_fp = fingerprint(now, k, width, sketches)
                     digest = hashlib.sha256(now.encode("utf-8", "surrogatepass")).hexdigest()
                     rows.append((was_id, len(was), digest, hexed(was_fp), hexed(now_fp), likeness(was_fp, now_fp), likeness(was_fp, fp)))
+                    again = (text, rows[-1][1:]) if same else None
                 held = None if closes else (own, row_id.as_py(), text, fp)
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)

@@ -260,6 +260,11 @@ def test_order_minhash_ties_nulls_and_no_rows(spark):
     assert orderminhash.with_following(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     df = spark.createDataFrame([(5, "one"), (5, "one"), (5, "two"), (None, "x"), (None, None), (3, "y")], "doc_id bigint, text string")
     assert sorted(r["doc_id"] or -1 for r in orderminhash.with_following(df, parts=4).collect()) == [-1, -1, 3, 5, 5, 5]
+    many = spark.createDataFrame([(5, f"text {i % 40}") for i in range(200)] + [(4, "last")], "doc_id bigint, text string").repartition(3)
+    got = sorted(map(tuple, orderminhash.with_following(many, parts=8).collect()))
+    assert got == sorted(map(tuple, orderminhash.with_following(many, parts=1).collect())) and len(got) == 201
+    keyed = many.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("mark"))
+    assert 5 <= len(orderminhash.cuts(keyed, 8)) <= 9  # ranges of one hot id
     alone = orderminhash.with_following(df.where("doc_id = 3")).first()
     assert (alone["n_chars"], alone["near_edited"], alone["near_next"]) == (1, 1.0, 1.0)
 
