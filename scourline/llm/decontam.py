@@ -10,7 +10,8 @@ that size, and each part scans the documents in turn; the results are the same.
 
 Words are maximal runs of ASCII digits, ASCII letters (A-Z lower-cased) and all non-ASCII characters. Null texts have no
 words. Items with equal ids are one item; a null id is one item with the empty name. Rows of equal id and text get
-equal results, one row each; other columns of the tables are carried by :func:`remove` and ignored elsewhere.
+equal results, one row each; other columns of the tables are carried by :func:`remove`, where names that begin with ``scourline_``
+are taken, and ignored elsewhere. Very long texts cost time by their words.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scourline.plans.scratch import keep
+from scourline.plans.scratch import keep, sized
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -83,14 +84,15 @@ def remove(docs: DataFrame, items: DataFrame, what: str = "documents", id_col: s
     if what not in ("documents", "spans"):
         raise ValueError(f"what: {what!r}")
     hit = contamination(docs, items, id_col, text_col, **options).where("size(spans) > 0")
-    hit = keep(hit.select(F.col("id").alias("hit_id_"), F.col("mark").alias("hit_mark_"), F.col("spans").alias("hit_spans_")), "hits")
-    same = docs[id_col].eqNullSafe(F.col("hit_id_")) & (F.xxhash64(docs[text_col]) == F.col("hit_mark_"))
+    hit = keep(hit.select(F.col("id").alias("scourline_id"), F.col("mark").alias("scourline_mark"), F.col("spans").alias("scourline_spans")), "hits")
+    same = docs[id_col].eqNullSafe(F.col("scourline_id")) & (F.xxhash64(docs[text_col]) == F.col("scourline_mark"))
     if what == "documents":
-        return docs.join(hit.hint("merge"), same, "left_anti")
-    joined = docs.join(hit.dropDuplicates(["hit_id_", "hit_mark_"]).hint("merge"), same, "left")
+        return docs.join(sized(hit), same, "left_anti")
+    once = keep(hit.dropDuplicates(["scourline_id", "scourline_mark"]), "hits")
+    joined = docs.join(sized(once, 1024), same, "left")
     word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     tail = F.regexp_extract(docs[text_col], r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
-    joined = joined.withColumn("hit_parts_", F.regexp_extract_all(docs[text_col], F.lit(word), F.lit(0)))
-    left = F.expr("array_join(filter(hit_parts_, (x, i) -> not exists(hit_spans_, s -> i >= s.start and i < s.start + s.n)), '')")
-    cleaned = F.when(F.col("hit_id_").isNull() & F.col("hit_spans_").isNull(), docs[text_col]).otherwise(F.concat(left, tail))
+    joined = joined.withColumn("scourline_parts", F.regexp_extract_all(docs[text_col], F.lit(word), F.lit(0)))
+    left = F.expr("array_join(filter(scourline_parts, (x, i) -> not exists(scourline_spans, s -> i >= s.start and i < s.start + s.n)), '')")
+    cleaned = F.when(F.col("scourline_id").isNull() & F.col("scourline_spans").isNull(), docs[text_col]).otherwise(F.concat(left, tail))
     return joined.select(*[cleaned.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scourline.llm import bpe, decontam, density, langid, licenses, merkle, orderminhash, secrets, simhash, toxicity
-from scourline.plans.scratch import keep
+from scourline.plans.scratch import folder, keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,9 +71,15 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, counts of base spans, their digest and all spans for every document."""
+    """doc_id, counts of base spans, their digest and all spans for every document.
+
+    Two runs over one ledger: the first knows the history's first source only, the second all documents, of which it scans
+    what the first has not seen.
+    """
     docs = table(spark, sf_dir, "documents")
-    found = keep(secrets.findings(secrets.ledger_of(docs)), "findings")
+    ledger = secrets.Ledger(spark, f"{folder(spark)}/scourline-ledger-{uuid4().hex}")
+    ledger.update(docs.where(docs.source == docs.agg(F.min("source")).first()[0]))
+    found = keep(secrets.findings(ledger.update(docs)), "findings")
     kinds = ", ".join(f"'{r.kind}'" for r in secrets.BASE)
     found = found.select("blob", "spans", F.expr(f"filter(spans, s -> s.kind in ({kinds}))").alias("base"))
     every = secrets.paths_with_findings(docs, ["doc_id"], found)

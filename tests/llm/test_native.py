@@ -129,6 +129,24 @@ def test_ledger_scans_only_unseen_pairs(spark, make):
     assert found == {0: 1, 1: 1}
 
 
+def test_a_ledger_lasts(spark, make, tmp_path):
+    docs, path = make(["token = abcdefgh", "clean", None, "clean"]), str(tmp_path / "ledger")
+    assert secrets.Ledger(spark, path).update(docs.limit(0)).count() == 0
+    first = secrets.Ledger(spark, path).update(docs, rules=secrets.BASE)
+    assert first.count() == 3 * len(secrets.BASE)
+    again = secrets.Ledger(spark, path)
+    assert secrets.scan(docs, ledger=again.rows(), rules=secrets.BASE).count() == 0  # a repeated run scans nothing
+    assert again.update(docs, rules=secrets.BASE).count() == 3 * len(secrets.BASE)
+    assert again.update(docs).count() == 3 * len(secrets.RULES)  # new rules over known blobs
+    assert secrets.findings(again.rows()).count() == 1
+
+
+def test_texts_of_thousands_of_matches(spark, make):
+    text = " ".join(f"token={i:06}" for i in range(2500))
+    row = secrets.findings(secrets.ledger_of(make([text]))).first()
+    assert [(s["start"], s["end"]) for s in row["spans"]] == [(a, b) for a, _, _, b in brute_spans(text)]
+
+
 def test_added_rules_and_redaction(spark, make):
     jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"
     docs = make(["x " + jwt + " y", "-----BEGIN RSA PRIVATE KEY----- z", 'a token = "0123456789abcdef01234567" b', "plain", None])
@@ -187,5 +205,7 @@ def test_removal(spark, make):
     assert spans == {0: "Clean, text!", 1: "Before; after it", 2: None, 3: ""}
     assert decontam.remove(docs, items).columns == docs.columns
     assert decontam.remove(docs, items.limit(0)).count() == 4 and decontam.remove(docs.limit(0), items).count() == 0
+    clashing = docs.withColumns({c: F.lit("x") for c in ("hit_parts_", "hit_id_", "hit_mark_", "id_", "mark_", "items", "pos", "word")})
+    assert decontam.remove(clashing, items, "spans").columns == clashing.columns and decontam.remove(clashing, items).count() == 2
     twice = docs.union(docs)
     assert decontam.remove(twice, items, "spans").count() == 8 and decontam.contamination(twice, items).count() == 8
