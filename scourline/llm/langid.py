@@ -141,8 +141,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, alpha:
 def train(docs: DataFrame, most: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
     """A model from about ``most`` rows of ``docs``, as many of each language as there are, at most an equal share.
 
-    Languages are counted over all rows; the rows are chosen by a hash of the id, and only their sparse counts reach
-    the driver.
+    Languages are counted over all rows; the rows are chosen by a hash of id and text, of equal ones one, and only the
+    sparse counts of at most ``2 * most`` reach the driver.
     """
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("lang is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
@@ -151,7 +151,8 @@ def train(docs: DataFrame, most: int = 2000, id_col: str = "doc_id", text_col: s
         return fit([])
     wide = 1 << 30
     cuts = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(wide, wide * share // n))])
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(wide)) < cuts[F.col("lang")])
+    marked = known.withColumn("mark", F.xxhash64("id", "text", F.lit(3)))
+    chosen = marked.where(F.pmod("mark", F.lit(wide)) < cuts[F.col("lang")]).dropDuplicates(["lang", "mark"]).orderBy("mark", "lang").limit(2 * most).select("lang", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

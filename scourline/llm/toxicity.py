@@ -178,7 +178,8 @@ def bucket(id_col: Column, folds: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str, learn: Column | None) -> tuple[list[list[str]], list[int]]:
     """Distinct tokens and labels of at most ``most`` labelled documents, a third of them toxic if there are as many.
 
-    Rows are chosen by a hash of the id; only the chosen ones' distinct tokens reach the driver.
+    Ids are chosen by a hash; only the distinct tokens of their texts reach the driver, of at most ``2 * most`` different
+    rows however often an id occurs.
     """
     own = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     own = own.where(learn) if learn is not None else own
@@ -191,11 +192,13 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.string()))], ["id", "y", "tokens"])
 
     few = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = few.join(F.broadcast(ids.select("id", "y")), "id").mapInArrow(tokens, "id bigint, y int, tokens array<string>").toArrow()
+    few = few.join(F.broadcast(ids.select("id", "y")), "id").select("id", "text", "y", F.xxhash64("text").alias("mark"))  # ids: most at most
+    few = few.dropDuplicates(["id", "mark"]).orderBy("id", "mark").limit(2 * most)
+    rows = few.select("id", "text", "y").mapInArrow(tokens, "id bigint, y int, tokens array<string>").toArrow()
     one: dict[str, str] = {}  # a token that many documents share is held once
     found = [(i, y, [one.setdefault(t, t) for t in x.as_py()]) for i, y, x in zip(rows["id"].to_pylist(), rows["y"].to_pylist(), rows["tokens"])]
     found.sort(key=lambda r: (r[0], r[2]))
-    return [r[2] for r in found[: 2 * most]], [r[1] for r in found[: 2 * most]]
+    return [r[2] for r in found], [r[1] for r in found]
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None, **options) -> Model:

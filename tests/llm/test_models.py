@@ -105,6 +105,20 @@ def test_toxicity_of_odd_tables(spark, odd):
     assert toxicity.train(odd, only).score("x") > 0.99
 
 
+def test_samples_are_bounded_whatever_the_ids(spark):
+    rows = spark.range(900).selectExpr("7L as doc_id", "concat('word', id % 300, ' und') as text", "if(id % 2 = 0, 'de', 'en') as lang")
+    labels = spark.createDataFrame([(7, 1)], "doc_id bigint, toxic int")
+    tokens, y = toxicity.sample(rows, labels, 20, "doc_id", "text", "toxic", None)
+    assert len(tokens) == len(y) == 40 and len({t for x in tokens for t in x}) == 41
+    got = []
+    original, langid.fit = langid.fit, lambda found, **_: got.extend(found)
+    try:
+        langid.train(rows, most=30)
+    finally:
+        langid.fit = original
+    assert 10 <= len(got) <= 60
+
+
 # Licences
 
 
