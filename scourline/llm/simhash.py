@@ -224,23 +224,22 @@ FEW = 64
 PIVOTS = 32
 
 
-def shingles(text: bytes, width: int = 5, seed: int = 42) -> set[int]:
-    """Hashes of the ``width``-word shingles; of the whole sequence if it has fewer words."""
+def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct hashes of the ``width``-word shingles, in order; of the whole sequence if it has fewer words."""
     words = text.lower().split()
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return {digest(joined, seed)} if words else set()
+        return np.array([digest(joined, seed)] if words else [], np.uint64)
     ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
-    return {digest(joined[a:b], seed) for a, b in zip([0, *(e + 1 for e in ends)], ends[width - 1 :])}
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip([0, *(e + 1 for e in ends)], ends[width - 1 :])), np.uint64, len(words) - width + 1))
 
 
-def wide_fingerprint(found: set[int]) -> np.ndarray:
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
     """16 signed 64-bit SimHashes of a set of shingles, each under hashes of its own."""
-    if not found:
-        return np.zeros(TABLES, np.int64)
-    h = np.fromiter(found, np.uint64, len(found))
     out = np.zeros(TABLES, np.int64)
+    if not len(h):
+        return out
     with np.errstate(over="ignore"):
         for t in range(TABLES):
             x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -259,11 +258,13 @@ def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py() or b"", width, seed) for t in b.column(2).cast(pa.binary())]
-            fps = [wide_fingerprint(x) for x in sets]
-            flat = pa.array(np.concatenate(fps) if fps else np.zeros(0, np.int64))
-            few = [np.sort(np.fromiter(x, np.uint64, len(x)).view(np.int64)) if 0 < len(x) <= most else None for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * TABLES, pa.int32()), flat), pa.array(few, pa.list_(pa.int64()))], ["id", "mark", "fps", "few"])
+            fps, few = np.zeros((b.num_rows, TABLES), np.int64), []
+            for i, t in enumerate(b.column(2).cast(pa.binary())):
+                found = shingles(t.as_py() or b"", width, seed)
+                fps[i] = wide_fingerprint(found)
+                few.append(np.sort(found.view(np.int64)) if 0 < len(found) <= most else None)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * TABLES, pa.int32()), pa.array(fps.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, pa.array(few, pa.list_(pa.int64()))], ["id", "mark", "fps", "few"])
 
     text = F.col(text_col).cast("string")
     chosen = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
@@ -281,7 +282,7 @@ def shingle_sets(df: DataFrame, key_col: str, text_col: str, width: int, seed: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.fromiter(shingles(t.as_py() or b"", width, seed), np.uint64).view(np.int64) for t in b.column(1).cast(pa.binary())]
+            found = [shingles(t.as_py() or b"", width, seed).view(np.int64) for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["key", "shingles"])
 
     few = df.select(F.col(key_col).cast("bigint").alias("key"), F.col(text_col).cast("string").alias("text"))

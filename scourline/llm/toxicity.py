@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: Words of more characters are cut into overlapping parts.
 LONG = 32
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def pieces(token: str) -> list[str]:

@@ -102,7 +102,7 @@ def test_similar_documents(spark, make):
 
 
 def brute_groups(texts, least=0.8):
-    sets = [simhash.shingles(t.encode()) for t in texts]
+    sets = [set(simhash.shingles(t.encode()).tolist()) for t in texts]
     root = list(range(len(texts)))
 
     def find(i):
