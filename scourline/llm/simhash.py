@@ -220,6 +220,8 @@ def components(fps: DataFrame, id_col: str = "doc_id", most: int = 3, crowd: int
 TABLES, SLOT = 16, 16
 #: Texts of so few shingles are compared with all others on the shingles: their bits do not follow the law of large sets.
 FEW = 64
+#: Shingles that a family may bring into one task to have its open links verified.
+PACK = 1 << 22
 #: Members of a crowded family that stand beside each of its parts, so that the parts of one dense group find each other.
 PIVOTS = 32
 
@@ -406,12 +408,12 @@ class _Members:
         return certain, open_
 
 
-Edges = Iterator[tuple[np.ndarray, np.ndarray, bool]]
+#: Edges (u, v, 0, True), or (family, node, root, False) for members of a family that may be linked to one of another root.
+Found = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]
 
 
-def _alike(t: pa.Table, least: float, open_pairs: bool) -> Edges:
-    """Edges (u, v, sure) of one family. Only links that are certain join members; of the pairs that they leave apart, each
-    that may be alike is given as not sure (with ``open_pairs``)."""
+def _alike(t: pa.Table, least: float, ask: bool) -> Found:
+    """Certain edges of one family, by which its members have a root, and (with ``ask``) whom they leave open."""
     m = _Members(t, least)
     group = np.full(len(m.nodes), -1)
     left = np.arange(len(m.nodes))
@@ -424,45 +426,82 @@ def _alike(t: pa.Table, least: float, open_pairs: bool) -> Edges:
             if certain.any():
                 near = left[certain]
                 group[near] = group[p]
-                yield np.full(len(near), m.nodes[p]), m.nodes[near], True
+                yield np.full(len(near), m.nodes[p]), m.nodes[near], np.zeros(len(near), np.int64), True
                 front += near.tolist()
                 left = left[~certain]
-    if not open_pairs or (group == group[0]).all() or len(m.has) == len(m.nodes):
+    if not ask or (group == group[0]).all() or len(m.has) == len(m.nodes):
         return
+    asks = np.zeros(len(m.nodes), bool)
     for p in range(len(m.nodes) - 1):
         rest = np.arange(p + 1, len(m.nodes))
         rest = rest[group[rest] != group[p]]
         near = rest[m.linked(p, rest)[1]]
         if len(near):
-            yield np.full(len(near), m.nodes[p]), m.nodes[near], False
+            asks[p] = asks[near] = True
+    if asks.any():
+        yield np.full(asks.sum(), t.column(0)[0].as_py()), m.nodes[asks], m.nodes[group[asks]], False
 
 
-def _between(t: pa.Table, least: float) -> Edges:
-    """Edges (u, v, sure) between the members that ask (each a strange one) and all others of another root."""
+def _between(t: pa.Table, least: float) -> Found:
+    """The same between the members that ask (each a strange one) and all others of another root."""
     m = _Members(t, least)
-    root, strange, asks = (t[c].to_numpy(zero_copy_only=False) for c in ("root", "strange", "asks"))
+    root, strange, asks, family = (t[c].to_numpy(zero_copy_only=False) for c in ("root", "strange", "asks", "family"))
     everyone = np.flatnonzero(~asks)
+    open_ = np.zeros(len(m.nodes), bool)
     for p in np.flatnonzero(asks):
         # Two strange members meet twice, once for each of them.
         rest = everyone[(root[everyone] != root[p]) & ~(strange[everyone] & (m.nodes[everyone] < m.nodes[p]))]
-        certain, open_ = m.linked(p, rest)
-        for near, sure in ((rest[certain][np.unique(root[rest[certain]], return_index=True)[1]], True), (rest[open_], False)):
-            if len(near):
-                yield np.full(len(near), m.nodes[p]), m.nodes[near], sure
+        certain, may_be = m.linked(p, rest)
+        near = rest[certain][np.unique(root[rest[certain]], return_index=True)[1]]
+        if len(near):
+            yield np.full(len(near), m.nodes[p]), m.nodes[near], np.zeros(len(near), np.int64), True
+        if may_be.any():
+            open_[p] = open_[rest[may_be]] = True
+    if open_.any():
+        yield family[open_], m.nodes[open_], root[open_], False
+
+
+def _verified(t: pa.Table, least: float) -> Found:
+    """Edges of members whose shingles are similar, as many as join their roots. Of two parts, pairs across them only."""
+    most = radius_of(least, 3)
+    nodes, part, root = (t[c].to_numpy(zero_copy_only=False) for c in ("node", "part", "root"))
+    fps = t["fps"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, TABLES)
+    sets = t["shingles"].combine_chunks()
+    size = np.diff(sets.offsets.to_numpy())
+    starts = np.cumsum(size) - size
+    kinds, codes = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    two = (part != part[0]).any()
+    own = np.zeros(len(kinds), np.int64)
+    for p in range(len(nodes) - 1):
+        rest = np.arange(p + 1, len(nodes))
+        rest = rest[(root[rest] != root[p]) & (not two or part[rest] != part[p])]
+        rest = rest[np.bitwise_count(fps[rest] ^ fps[p]).sum(1, dtype=np.int64) <= most]
+        rest = rest[size[rest] > 0]
+        if not len(rest) or not size[p]:
+            continue
+        own[codes[starts[p] : starts[p] + size[p]]] = 1
+        n = size[rest]
+        at = np.repeat(starts[rest] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.add.reduceat(own[codes[at]], np.cumsum(n) - n)
+        own[codes[starts[p] : starts[p] + size[p]]] = 0
+        for q in rest[shared >= least * (n + size[p] - shared)]:
+            if root[q] != root[p]:
+                yield nodes[p : p + 1], nodes[q : q + 1], np.zeros(1, np.int64), True
+                root = np.where(root == root[q], root[p], root)
 
 
 def _compare(of_family):
-    """Streams rows sorted by their first column, a family; gives the edges that ``of_family`` finds in each."""
+    """Streams rows sorted by their first column, a family; gives what ``of_family`` finds in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray, bool]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]] = []
         many = 0
 
         def out() -> pa.RecordBatch:
-            u, v = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
-            sure = np.repeat([x[2] for x in found], [len(x[0]) for x in found]).astype(bool)
+            columns = [pa.array(np.concatenate([x[i] for x in found])) for i in range(3)]
+            sure = np.repeat([x[3] for x in found], [len(x[0]) for x in found])
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sure)], ["u", "v", "sure"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array(sure)], ["u", "v", "root", "sure"])
 
         for t in _runs(batches):
             for edge in of_family(t):
@@ -477,7 +516,7 @@ def _compare(of_family):
     return run
 
 
-_EDGES = "u bigint, v bigint, sure boolean"
+_EDGES = "u bigint, v bigint, root bigint, sure boolean"
 
 
 def _in_order(df: DataFrame, key: str) -> DataFrame:
@@ -509,7 +548,7 @@ def _crowd_edges(members: DataFrame, crowded: DataFrame, calm: DataFrame, least:
     rooted = keep(rooted.withColumn("block", F.pmod(F.xxhash64("node", F.lit(8)), F.col("blocks")).cast("int")), "crowd-rooted")
     ask = rooted.where("strange").select("family", "block", F.explode(every).alias("part"), "node", "fps", "few", "root", "strange", F.lit(True).alias("asks"))
     all_ = rooted.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "node", "fps", "few", "root", "strange", F.lit(False).alias("asks"))
-    both = ask.union(all_).select(F.xxhash64("family", "block", "part").alias("run"), "node", "fps", "few", "root", "strange", "asks")
+    both = ask.union(all_).select(F.xxhash64("family", "block", "part").alias("run"), "node", "fps", "few", "root", "strange", "asks", "family")
     return within.union(_in_order(both, "run").mapInArrow(_compare(lambda t: _between(t, least)), _EDGES))
 
 
@@ -520,8 +559,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     least id of its texts with a hash of that text. ``star`` maps every node but one of each group to that one (a, b).
 
     Fingerprints meet in 64 blocks of 16 bits; what a Hamming check over 128 bits connects there is a family. Within a
-    family all pairs are compared over all 1024 bits; links too close to ``least`` for that are verified on the shingles, and
-    only links that are certain join members before that. At a similarity of 0.8 two texts share a block with probability
+    family all pairs are compared over all 1024 bits, and links that are certain join members; members with links too close
+    to ``least`` for that meet again with their shingles. At a similarity of 0.8 two texts share a block with probability
     0.99, at 0.85 with 0.9997.
 
     Texts of at most ``FEW`` shingles do not go by bits. They and the texts of up to ``FEW / least``, the largest they can be
@@ -559,20 +598,33 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         crowds = [x.select("place", "node").join(F.broadcast(h), "place").select("family", "node") for x, h, s in zip((filed, shared), named, some) if s]
         crowded = reduce(DataFrame.union, [h.select("family", "n") for h, s in zip(named, some) if s])
         near = near.union(_crowd_edges(reduce(DataFrame.union, crowds).join(texts, "node").select("family", "node", "fps", "few"), crowded, near, least, crowd))
-    near = keep(near.where("u <> v").groupBy("u", "v").agg(F.max("sure").alias("sure")), "near")
-    open_ = near.where("not sure")
-    asked = open_.select(F.col("u").alias("node")).union(open_.select("v")).distinct()
-    asked = keep(distinct.join(asked, "node").select(F.col("id").alias("asked_id"), F.col("mark").alias("asked_mark"), "node"), "asked")
+    near = keep(near.distinct(), "near")
+    asked = near.where("not sure").select(F.col("u").alias("family"), F.col("v").alias("node"), "root")
+    checked = _by_shingles(docs, id_col, text_col, width, least, distinct, asked)
+    return distinct, stars(near.where("sure").select("u", "v").union(checked))
+
+
+def _by_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, least: float, distinct: DataFrame, asked: DataFrame) -> DataFrame:
+    """Edges (u, v) of the members (family, node, root) that bits leave open, by their whole sets of shingles.
+
+    Members are compared where they meet; no pair is a row. A family of more than ``PACK`` shingles is cut into parts, and
+    each two parts meet.
+    """
+    nodes = keep(distinct.join(asked.select("node").distinct(), "node").select(F.col("id").alias("asked_id"), F.col("mark").alias("asked_mark"), "node"), "asked")
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    found = texts.join(sized(asked), (F.col("id") == F.col("asked_id")) & (F.col("mark") == F.col("asked_mark"))).select("node", "text")
-    # Equal rows have equal sets.
-    sets = keep(shingle_sets(found, "node", "text", width).groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
-    a, b = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "uv")
-    both = F.size(F.array_intersect("set_u", "set_v"))
-    alike = both >= least * (F.size("set_u") + F.size("set_v") - both)
-    checked = open_.join(a, "u").join(b, "v").where(alike).select("u", "v")
-    return distinct, stars(near.where("sure").select("u", "v").union(checked))
+    found = texts.join(sized(nodes), (F.col("id") == F.col("asked_id")) & (F.col("mark") == F.col("asked_mark"))).select("node", "text")
+    sets = shingle_sets(found, "node", "text", width).groupBy(F.col("key").alias("node")).agg(F.first("shingles").alias("shingles"))  # equal rows have equal sets
+    sets = keep(sets.join(distinct.select("node", "fps"), "node"), "shingles")
+    total = asked.join(sets.select("node", F.size("shingles").alias("n")), "node").groupBy("family").agg(F.sum("n").alias("n"))
+    large = total.where(F.col("n") > PACK).select("family", F.ceil(F.col("n") / PACK).cast("int").alias("parts"))
+    dealt = asked.join(F.broadcast(large), "family", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # large: few for all the shingles there are
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    run = F.xxhash64("family", F.least("part", "other"), F.greatest("part", "other")).alias("run")
+    meets = dealt.select("family", "node", "root", "part", other).select(run, "node", "root", "part").join(sets, "node")
+    in_order = _in_order(meets.select("run", "node", "root", "part", "fps", "shingles"), "run")
+    return in_order.mapInArrow(_compare(lambda t: _verified(t, least)), _EDGES).select("u", "v")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
