@@ -144,19 +144,20 @@ def fill_values(df: DataFrame, strategies: dict[str, str], compat: bool = False)
     A mode ties to the least value. With ``compat``, ``median`` on text gives 'Unknown'.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    aggs, out = [], {}
+    medians, modes, out = {}, [], {}
     for c, s in strategies.items():
         numeric, text = X.is_numeric(kinds[c]), X.is_text(kinds[c])
         col = F.col(f"`{c}`")
         constant = "Unknown" if text else False if X.is_boolean(kinds[c]) else 0 if numeric else None
         out[c] = constant
         if s == "median" and numeric:
-            aggs.append(F.median(col.cast("double")).alias(c))
+            medians[c] = col
         elif s in ("mode", "median") and not (compat and s == "median"):
-            aggs.append(F.mode(col, deterministic=True).alias(c))
-    if aggs:
-        row = df.agg(*aggs).first().asDict()
-        out |= {c: v for c, v in row.items() if v is not None}
+            modes.append(c)
+    out |= {c: q[0] for c, (_, q) in P.exact_quantiles(df, medians, (0.5,)).items()}
+    for c in modes:  # combined counts, then the first of them
+        top = P.top_values(df, c, 1).first()
+        out |= {c: top["value"]} if top else {}
     return {c: v for c, v in out.items() if v is not None}
 
 
@@ -173,7 +174,8 @@ def fill_missing(df: DataFrame, values: dict[str, Any]) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, field: str, order_by: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Nulls replaced by the last value before them in ``order_by``; leading nulls stay.
+    """Nulls replaced by the last value before them in ``order_by``; leading nulls stay. Where rows tie in ``order_by``, any of
+    their values may be the last.
 
     Without ``partition_by`` the order is global: the rows are cut into ranges of the key, filled within each range, and
     the leading nulls of a range take the last value of the ranges before it, so no task has to hold all rows.
@@ -278,14 +280,14 @@ def nearest_categories(df: DataFrame, field: str, least: float = 0.8) -> DataFra
     Every more frequent value is a target; only values that share a key of their letters are compared.
     """
     c = F.col(f"`{field}`")
-    counts = df.where(c.isNotNull()).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.select(c.alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     keyed = keep(counts.select("value", "n", F.explode(_spelling_keys(least)).alias("key")).select("value", "n", "key.*"), "spellings")
     targets = keyed.select(F.col("value").alias("target"), F.col("n").alias("target_n"), "longest", "gram")
     ratio = 1 - F.levenshtein("value", "target") / F.greatest(F.char_length("value"), F.char_length("target"), F.lit(1))
     better = keyed.join(targets, ["longest", "gram"]).where((F.col("target_n") > F.col("n")) & (ratio >= least))
-    pairs = better.groupBy("value").agg(F.max_by("target", F.struct("target_n", "target")).alias("target"))
-    joined = df.join(pairs, c == F.col("value"), "left")
-    return joined.select(*[F.coalesce("target", c).alias(x) if x == field else F.col(f"`{x}`") for x in df.columns])
+    pairs = better.groupBy("value").agg(F.max_by("target", F.struct("target_n", "target")).alias("scourline_target")).withColumnRenamed("value", "scourline_value")
+    joined = df.join(pairs, c == F.col("scourline_value"), "left")
+    return joined.select(*[F.coalesce("scourline_target", c).alias(x) if x == field else F.col(f"`{x}`") for x in df.columns])
 
 
 # The plan.

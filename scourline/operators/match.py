@@ -63,8 +63,9 @@ def detected_types(df: DataFrame, names: str = "substring") -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "field string, dtype string, detected_type string")
 
 
-def evidence(df: DataFrame) -> dict[str, dict[str, Any]]:
-    """What the data tests need of each field: one aggregate row, and distinct counts from value frequencies."""
+def evidence(df: DataFrame, freq: DataFrame | None = None) -> dict[str, dict[str, Any]]:
+    """What the data tests need of each field: one aggregate row, and distinct counts from value frequencies, which a
+    profile may have stored."""
     make = {}
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
@@ -78,7 +79,7 @@ def evidence(df: DataFrame) -> dict[str, dict[str, Any]]:
         make |= {f"{i}_{k}": v for k, v in own.items()}
     row = df.agg(*[v.alias(k) for k, v in make.items()]).first().asDict()
     out = {f.name: {k.split("_", 1)[1]: v for k, v in row.items() if k.split("_", 1)[0] == str(i)} for i, f in enumerate(df.schema.fields)}
-    freq = P.frequencies(df)
+    freq = P.frequencies(df) if freq is None else freq
     word = F.lower("value").isin(BOOLEAN_WORDS)
     folded = freq.where("value is not null").groupBy("column", F.lower("value").alias("f")).agg(F.max(word.cast("int")).alias("w"))
     words = folded.groupBy("column").agg(F.count(F.lit(1)).alias("folded"), F.sum("w").alias("boolean_words"))

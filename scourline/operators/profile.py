@@ -1,12 +1,14 @@
 """Column and dataset profiles in a few aggregate passes.
 
 One pass holds everything that partial aggregation can combine (counts, extremes, moments, patterns). Distinct values
-come from a value-frequency table, whose groups are combined before the shuffle; exact quantiles have a pass of their
-own. Distinct aggregates are never mixed into the first pass: Spark would expand every row for each of them.
+come from a value-frequency table, whose groups are combined before the shuffle and which a caller may store and hand to
+all that need it; exact quantiles take passes of their own, in bounded memory. Distinct aggregates are never mixed into the
+first pass: Spark would expand every row for each of them.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -76,34 +78,100 @@ def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """column, n_unique (null is a value), max_count of one value, n_rows."""
+def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate: bool = False, freq: DataFrame | None = None) -> DataFrame:
+    """column, n_unique (null is a value), max_count of one value, n_rows; ``freq`` is the stored table of frequencies."""
     columns = df.columns if columns is None else columns
     if approximate and columns:
         agg = df.agg(*_each(columns, lambda c: {"n_unique": F.approx_count_distinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0))}))
         return _long(agg, columns, {"n_unique": "bigint"})
-    f = frequencies(df, columns)
+    f = frequencies(df, columns) if freq is None else freq.where(F.col("column").isin(columns))
     return f.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("max_count"), F.sum("n").alias("n_rows"))
 
 
-def base_profile(df: DataFrame) -> DataFrame:
+def base_profile(df: DataFrame, freq: DataFrame | None = None) -> DataFrame:
     """column, dtype, n_rows, null_count, null_percentage, n_unique, unique_percentage."""
     kinds = F.create_map(*[F.lit(x) for c, t in dtypes(df).items() for x in (c, t)])
-    both = null_counts(df).join(distinct_counts(df).select("column", "n_unique"), "column", "left")
+    both = null_counts(df).join(distinct_counts(df, freq=freq).select("column", "n_unique"), "column", "left")
     share = F.when(F.col("n_rows") > 0, F.coalesce("n_unique", F.lit(0)) * 100.0 / F.col("n_rows")).otherwise(0.0)
     return both.select("column", kinds[F.col("column")].alias("dtype"), "n_rows", "null_count", "null_percentage", F.coalesce("n_unique", F.lit(0)).cast("bigint").alias("n_unique"), share.alias("unique_percentage"))
 
 
+MANY = 200_000  # values of a bracket that may come to the driver
+
+
+def exact_quantiles(df: DataFrame, values: dict[str, Column], points: tuple[float, ...] = QUARTILES, accuracy: int = 10_000) -> dict[str, tuple[int, list[float]]]:
+    """(number of non-null values, their quantiles by linear interpolation) of each numeric expression that has any.
+
+    Exact in bounded memory: a sketch gives a bracket around each wanted rank, the next pass counts what lies below and in it,
+    and the few values in it are gathered with their counts. A bracket that misses its rank is widened, one that holds too
+    many values is narrowed by a sketch of what is in it. All columns share the passes; no value is sorted or shuffled but
+    those in the brackets.
+    """
+    names = list(values)
+    if not names:
+        return {}
+    d = df.select(*[values[c].cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+    slack = 3 / accuracy
+
+    def around(p: float) -> list[float]:
+        return [max(0.0, p - slack), min(1.0, p + slack)]
+
+    wide = [x for p in points for x in around(p)]
+    first = d.agg(*[f.alias(f"{k}{i}") for i in range(len(names)) for k, f in (("n", F.count(f"v{i}")), ("lo", F.min(f"v{i}")), ("hi", F.max(f"v{i}")), ("q", F.percentile_approx(f"v{i}", wide, accuracy)))]).first()
+    n = [first[f"n{i}"] for i in range(len(names))]
+    rank = {(i, j): (n[i] - 1) * p for i in range(len(names)) if n[i] for j, p in enumerate(points)}
+    bracket = {(i, j): (first[f"q{i}"][2 * j], first[f"q{i}"][2 * j + 1]) for i, j in rank}
+    open_, ready, below = set(rank), {}, {}
+    last: dict[tuple[int, int], int] = {}
+    while open_:
+        keys = sorted(open_)
+        inside = lambda k: F.col(f"v{k[0]}").between(*map(F.lit, bracket[k]))
+        row = d.agg(*[f.alias(f"{x}{t}") for t, k in enumerate(keys) for x, f in (("b", F.count_if(F.col(f"v{k[0]}") < F.lit(bracket[k][0]))), ("w", F.count_if(inside(k))))]).first()
+        narrow = []
+        for t, k in enumerate(keys):
+            b, w = row[f"b{t}"], row[f"w{t}"]
+            if not b <= math.floor(rank[k]) or not math.ceil(rank[k]) < b + w:
+                bracket[k] = (first[f"lo{k[0]}"], first[f"hi{k[0]}"])
+            elif w > MANY and bracket[k][0] < bracket[k][1] and w != last.get(k):
+                narrow.append((k, b, w))
+                last[k] = w
+            else:  # few, or hardly any different ones
+                open_.discard(k)
+                ready[k], below[k] = bracket[k], b
+        if narrow:
+            at = lambda k, b, w: [max(0.0, (math.floor(rank[k]) - b) / w - slack), min(1.0, (math.ceil(rank[k]) - b + 1) / w + slack)]
+            q = d.agg(*[F.percentile_approx(F.when(inside(k), F.col(f"v{k[0]}")), at(k, b, w), accuracy).alias(f"q{t}") for t, (k, b, w) in enumerate(narrow)]).first()
+            for t, (k, _, _) in enumerate(narrow):
+                bracket[k] = (q[f"q{t}"][0], q[f"q{t}"][1])
+    if not ready:
+        return {}
+    keys = sorted(ready)
+    held = F.array_compact(F.array(*[F.when(F.col(f"v{k[0]}").between(*map(F.lit, ready[k])), F.struct(F.lit(t).alias("t"), F.col(f"v{k[0]}").alias("v"))) for t, k in enumerate(keys)]))
+    counted: dict[int, list[tuple[float, int]]] = {t: [] for t in range(len(keys))}
+    for r in d.select(F.explode(held).alias("x")).groupBy("x.t", "x.v").count().collect():
+        counted[r["t"]].append((r["v"], r["count"]))
+    out: dict[str, tuple[int, list[float]]] = {names[i]: (n[i], []) for i in range(len(names)) if n[i]}
+    for t, k in enumerate(keys):
+        low, high = math.floor(rank[k]), math.ceil(rank[k])
+        seen, got = below[k], {}
+        for v, c in sorted(counted[t]):
+            for r in (low, high):
+                if seen <= r < seen + c:
+                    got[r] = v
+            seen += c
+        out[names[k[0]]][1].append(got[low] if low == high else (high - rank[k]) * got[low] + (rank[k] - low) * got[high])
+    return out
+
+
 def quantiles(df: DataFrame, columns: list[str], interpolation: str = "linear", approximate: bool = False) -> DataFrame:
-    """column, q25, median, q75. ``linear`` interpolates; ``nearest`` takes existing values."""
-    points = F.array(*[F.lit(q) for q in QUARTILES])
-    if approximate or interpolation == "nearest":
-        accuracy = 10_000 if approximate else 1_000_000
-        make = lambda c: {"q": F.percentile_approx(c.cast("double"), list(QUARTILES), accuracy)}
-    elif interpolation == "linear":
-        make = lambda c: {"q": F.percentile(c.cast("double"), points)}
-    else:
+    """column, q25, median, q75. ``linear`` interpolates between exact values; ``nearest`` takes existing values."""
+    if interpolation not in ("linear", "nearest"):
         raise ValueError(f"interpolation: {interpolation!r}")
+    if not approximate and interpolation == "linear":
+        found = exact_quantiles(df, {c: _col(c) for c in columns})
+        return df.sparkSession.createDataFrame([(c, *(found[c][1] if c in found else (None,) * 3)) for c in columns], "column string, q25 double, median double, q75 double")
+    accuracy = 10_000 if approximate else 1_000_000
+    make = lambda c: {"q": F.percentile_approx(c.cast("double"), list(QUARTILES), accuracy)}
     out = _measured(df, columns, make, {"q": "array<double>"})
     return out.select("column", *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("q25", "median", "q75"))])
 
@@ -120,9 +188,8 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, approximate
 def outlier_bounds(df: DataFrame, columns: list[str], k: float = 1.5, method: str = "iqr") -> dict[str, tuple[float, float, int]]:
     """(low, high, non-null rows) of each column: quartiles widened by k ranges, or the mean by k deviations."""
     if method == "iqr":
-        rows = df.agg(*_each(columns, lambda c: {"n": F.count(c), "q": F.percentile(c.cast("double"), F.array(F.lit(0.25), F.lit(0.75)))})).first()
-        found = {c: (rows[f"{i}_q"], rows[f"{i}_n"]) for i, c in enumerate(columns)}
-        return {c: (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0]), n) for c, (q, n) in found.items() if q is not None}
+        found = exact_quantiles(df, {c: _col(c) for c in columns}, (0.25, 0.75))
+        return {c: (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0]), n) for c, (n, q) in found.items()}
     if method != "zscore":
         raise ValueError(f"method: {method!r}")
     rows = df.agg(*_each(columns, lambda c: {"n": F.count(c), "m": F.avg(c.cast("double")), "s": F.coalesce(F.stddev_samp(c.cast("double")), F.lit(0.0))})).first()
@@ -145,9 +212,13 @@ def text_profile(df: DataFrame, columns: list[str] | None = None, median: bool =
     """column, n, min/max/avg/median length in code points."""
     columns = text_columns(df) if columns is None else columns
     n = lambda c: F.char_length(c).cast("bigint")
-    make = lambda c: {"n": F.count(c), "min_length": F.min(n(c)), "max_length": F.max(n(c)), "avg_length": F.avg(n(c))} | ({"median_length": F.median(n(c))} if median else {})
-    fields = {"n": "bigint", "min_length": "bigint", "max_length": "bigint", "avg_length": "double"} | ({"median_length": "double"} if median else {})
-    return _measured(df, columns, make, fields)
+    make = lambda c: {"n": F.count(c), "min_length": F.min(n(c)), "max_length": F.max(n(c)), "avg_length": F.avg(n(c))}
+    out = _measured(df, columns, make, {"n": "bigint", "min_length": "bigint", "max_length": "bigint", "avg_length": "double"})
+    if not median:
+        return out
+    found = exact_quantiles(df, {c: n(_col(c)) for c in columns}, (0.5,))
+    medians = df.sparkSession.createDataFrame([(c, found[c][1][0] if c in found else None) for c in columns], "column string, median_length double")
+    return out.join(medians, "column")
 
 
 PATTERNS = {
@@ -211,14 +282,16 @@ def row_uniqueness(df: DataFrame) -> DataFrame:
 
 
 def duplicate_patterns(df: DataFrame) -> DataFrame:
-    """Each row that occurs more than once, with its count."""
-    return df.groupBy(*[_col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Each row that occurs more than once, with its count ``n`` (``n_rows`` where a column has that name)."""
+    name = "n_rows" if "n" in df.columns else "n"
+    rows = df.groupBy(*[_col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("scourline_n")).where("scourline_n > 1")
+    return rows.withColumnRenamed("scourline_n", name)
 
 
-def case_inconsistency(df: DataFrame, columns: list[str] | None = None, least: float = 0.8) -> DataFrame:
+def case_inconsistency(df: DataFrame, columns: list[str] | None = None, least: float = 0.8, freq: DataFrame | None = None) -> DataFrame:
     """column, distinct_values, distinct_folded, inconsistent: values that differ by case only, over all rows."""
     columns = text_columns(df) if columns is None else columns
-    f = frequencies(df, columns).where("value is not null")
+    f = (frequencies(df, columns) if freq is None else freq.where(F.col("column").isin(columns))).where("value is not null")
     folded = f.groupBy("column", F.lower("value").alias("folded")).agg(F.count(F.lit(1)).alias("n"))
     agg = folded.groupBy("column").agg(F.sum("n").alias("distinct_values"), F.count(F.lit(1)).alias("distinct_folded"))
     return agg.withColumn("inconsistent", F.col("distinct_folded") < least * F.col("distinct_values"))
@@ -229,14 +302,14 @@ def type_counts(df: DataFrame) -> dict[str, int]:
     return {"numeric": sum(map(X.is_numeric, kinds)), "text": sum(map(X.is_text, kinds)), "boolean": sum(map(X.is_boolean, kinds)), "date": sum(map(X.is_date, kinds))}
 
 
-def value_distribution(df: DataFrame, columns: list[str] | None = None, most_distinct: int = 20, top: int = 10) -> DataFrame:
+def value_distribution(df: DataFrame, columns: list[str] | None = None, most_distinct: int = 20, top: int = 10, freq: DataFrame | None = None) -> DataFrame:
     """column, value, n, percentage of all rows: the ``top`` values of each text column with few distinct ones."""
     columns = text_columns(df) if columns is None else columns
-    counts = distinct_counts(df, columns).where(F.col("n_unique") < most_distinct).select("column", "n_rows")
+    counts = distinct_counts(df, columns, freq=freq).where(F.col("n_unique") < most_distinct).select("column", "n_rows")
     few = [r["column"] for r in counts.collect()]  # names of columns, not data
     if not few:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint, percentage double")
-    f = frequencies(df, few).join(counts, "column")
+    f = (frequencies(df, few) if freq is None else freq.where(F.col("column").isin(few))).join(counts, "column")
     nth = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.col("value").asc_nulls_first()))
     return f.withColumn("nth", nth).where(F.col("nth") <= top).select("column", "value", "n", (F.col("n") * 100.0 / F.col("n_rows")).alias("percentage"))
 

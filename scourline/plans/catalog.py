@@ -6,6 +6,7 @@ The tables hold no nulls and few duplicates, so dirty views are derived by the s
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,7 @@ def each(names: list[str], select: str, source: str) -> str:
 
 
 LINEITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+_NUMERIC = LINEITEM[:8]
 _KINDS = dict(zip(LINEITEM, "int64 int64 int64 int32 float64 float64 float64 float64 string string datetime".split()))
 _SALES, _ORDERS = "l_orderkey l_linenumber price quantity flag".split(), "o_orderkey priority status total".split()
 
@@ -108,9 +110,9 @@ def distinct_values(spark, sf_dir):
     return P.distinct_counts(orders(spark, sf_dir), ["priority", "status"]).select("column", "n_unique", "n_rows")
 
 
-@query(each(["l_quantity", "l_extendedprice"], f"count({{c}}) AS n, min({{c}}) AS min, max({{c}}) AS max, {rounded('avg({c})', 4)} AS mean, {rounded('stddev_samp({c})', 4)} AS std, bool_and({{c}} = floor({{c}})) AS integer_like, quantile_cont({{c}}, 0.25) AS q25, quantile_cont({{c}}, 0.5) AS median, quantile_cont({{c}}, 0.75) AS q75", "lineitem"))
+@query(each(_NUMERIC, f"count({{c}}) AS n, min({{c}}) AS min, max({{c}}) AS max, {rounded('avg({c})', 4)} AS mean, {rounded('stddev_samp({c})', 4)} AS std, bool_and({{c}} = floor({{c}})) AS integer_like, quantile_cont({{c}}, 0.25) AS q25, quantile_cont({{c}}, 0.5) AS median, quantile_cont({{c}}, 0.75) AS q75", "lineitem"))
 def numeric_profile(spark, sf_dir):
-    return r(P.numeric_profile(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"]), "mean", "std", places=4)
+    return r(P.numeric_profile(table(spark, sf_dir, "lineitem")), "mean", "std", places=4)
 
 
 @query(f"SELECT 'value' AS \"column\", {rounded('lower', 6)} AS lower, {rounded('upper', 6)} AS upper, count(*) FILTER (value < lower OR value > upper) AS outlier_count, {rounded('count(*) FILTER (value < lower OR value > upper) * 100.0::DOUBLE / count(value)', 6)} AS outlier_percentage FROM events, (SELECT a - 1.5 * (b - a) AS lower, b + 1.5 * (b - a) AS upper FROM (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)) GROUP BY lower, upper")
@@ -182,14 +184,20 @@ def completeness(spark, sf_dir):
     return P.completeness(sales(spark, sf_dir))
 
 
-@query("SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(*) AS unique_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows, count(*) / sum(n)::DOUBLE AS uniqueness FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus)")
+def _with_copies(spark, sf_dir):
+    """Every line item, and those of each fifth order twice."""
+    df = table(spark, sf_dir, "lineitem")
+    return df.union(df.where("l_orderkey % 5 = 0"))
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(*) AS unique_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows, count(*) / sum(n)::DOUBLE AS uniqueness FROM (SELECT count(*) AS n FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 5 = 0) GROUP BY ALL_COLUMNS)".replace("ALL_COLUMNS", ", ".join(LINEITEM)))
 def row_uniqueness(spark, sf_dir):
-    return P.row_uniqueness(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"))
+    return P.row_uniqueness(_with_copies(spark, sf_dir))
 
 
-@query("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) > 1")
+@query(f"SELECT {', '.join(LINEITEM)}, count(*) AS n FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 5 = 0) GROUP BY ALL HAVING count(*) > 1")
 def duplicate_patterns(spark, sf_dir):
-    return P.duplicate_patterns(table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment"))
+    return P.duplicate_patterns(_with_copies(spark, sf_dir))
 
 
 @query("SELECT 'v' AS \"column\", CAST(count(DISTINCT v) AS BIGINT) AS distinct_values, count(DISTINCT lower(v)) AS distinct_folded, count(DISTINCT lower(v)) < 0.8 * count(DISTINCT v) AS inconsistent FROM (SELECT CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS v FROM events)")
@@ -207,12 +215,12 @@ def top_values(spark, sf_dir):
     return P.top_values(table(spark, sf_dir, "events"), "event_type", 3)
 
 
-_PAIRS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]
+_PAIRS = list(combinations(_NUMERIC, 2))
 
 
 @query(" UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, {rounded(f'corr({a}, {b})', 9)} AS correlation FROM lineitem" for a, b in _PAIRS))
 def correlations(spark, sf_dir):
-    return P.correlations(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return P.correlations(table(spark, sf_dir, "lineitem"))
 
 
 @query(f"SELECT 'l_quantity' AS column_a, 'double_quantity' AS column_b, {rounded('corr(l_quantity, 2 * l_quantity)', 9)} AS correlation, 'strong' AS strength FROM lineitem")
@@ -223,9 +231,9 @@ def high_correlations(spark, sf_dir):
 # Cleaning rules.
 
 
-@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+@query("SELECT DISTINCT * FROM lineitem")
 def dedup_rows(spark, sf_dir):
-    return C.remove_duplicates(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"))
+    return C.remove_duplicates(_with_copies(spark, sf_dir))
 
 
 _PADDED = "doc_id, concat(' ', chr(9), source, '  ', lang, chr(10), chr(13)) AS source"

@@ -13,14 +13,19 @@ from scourline.operators import match as M
 from scourline.operators import monitor as Q
 from scourline.operators import profile as P
 from scourline.operators.clean import Cleaner
+from scourline.plans.scratch import keep
 from scourline.sources import reports, rules, tables
 from scourline.sources.events import setup_logging
 
 
-def profile_report(df: DataFrame, correlations: bool = True, approximate: bool = False) -> dict[str, Any]:
-    """A table's profile as plain values: a handful of aggregate jobs, one row per column back to the driver."""
+def profile_report(df: DataFrame, correlations: bool = True, approximate: bool = False, freq: DataFrame | None = None) -> dict[str, Any]:
+    """A table's profile as plain values: a handful of aggregate jobs, one row per column back to the driver.
+
+    ``freq`` is a stored table of value frequencies; without it one is stored here.
+    """
+    freq = keep(P.frequencies(df), "frequencies") if freq is None else freq
     by = lambda d: {r["column"]: {k: v for k, v in r.asDict().items() if k != "column"} for r in d.collect()}
-    columns: dict[str, dict[str, Any]] = by(P.base_profile(df))
+    columns: dict[str, dict[str, Any]] = by(P.base_profile(df, freq))
     parts = [P.text_profile(df), P.text_patterns(df), P.boolean_profile(df), P.date_profile(df)]
     numbers = P.numeric_columns(df)
     if numbers:
@@ -31,13 +36,13 @@ def profile_report(df: DataFrame, correlations: bool = True, approximate: bool =
     for f in df.schema.fields:
         columns[f.name]["detected_type"] = M.detect_field_type(f.name, f.dataType)
     quality = P.completeness(df).first().asDict() | P.row_uniqueness(df).first().asDict()
-    quality["case_issues"] = [r["column"] for r in P.case_inconsistency(df).where("inconsistent").collect()]
+    quality["case_issues"] = [r["column"] for r in P.case_inconsistency(df, freq=freq).where("inconsistent").collect()]
     out = {
         "overview": P.overview(df).first().asDict(),
         "columns": {c: columns[c] for c in df.columns},
         "quality": quality,
         "statistics": P.type_counts(df),
-        "patterns": {"nulls": {c: v["null_count"] for c, v in columns.items() if v["null_count"]}, "values": [r.asDict() for r in P.value_distribution(df).collect()]},
+        "patterns": {"nulls": {c: v["null_count"] for c, v in columns.items() if v["null_count"]}, "values": [r.asDict() for r in P.value_distribution(df, freq=freq).collect()]},
         "correlations": [r.asDict() for r in P.high_correlations(df).collect()] if correlations else [],
     }
     out["recommendations"] = P.recommendations(out)
@@ -54,9 +59,10 @@ class Pipeline:
         """The cleaned table and all reports; with ``output`` also as files, whose paths are under ``paths``."""
         spark, timer = df.sparkSession, Q.Timer()
         with timer.stage("profile"):
-            profile = profile_report(df, correlations)
+            freq = keep(P.frequencies(df), "frequencies")
+            profile = profile_report(df, correlations, freq=freq)
         with timer.stage("match"):
-            matches = M.match(df, self.rules, self.names)
+            matches = M.match(df, self.rules, self.names, M.evidence(df, freq))
             coverage = M.coverage(matches)
         with timer.stage("clean"):
             cleaned = self.cleaner.clean(df, matches)

@@ -183,3 +183,33 @@ def test_nearest_categories_beyond_200(spark):
             better = [(n[t], t) for t in n if n[t] > k and 1 - distance(v, t) / max(len(v), len(t), 1) >= least]
             want[max(better)[1] if better else v] += k
         assert Counter(values(C.nearest_categories(spark.createDataFrame([(r,) for r in rows], "k string"), "k", least), "k")) == want
+
+
+def test_exact_quantiles_in_several_passes(spark, monkeypatch):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from scourline.operators import profile as P
+
+    rng = random.Random(3)
+    rows = [(rng.gauss(0, 1), rng.randrange(5), None, float(i) if i % 3 else None, 7.0) for i in range(4001)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double, e double").repartition(5)
+    points = (0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 1.0)
+    want = {c: np.quantile([r[i] for r in rows if r[i] is not None], points) for i, c in enumerate("abcde") if c != "c"}
+    for accuracy, many in ((10_000, 200_000), (100, 200_000), (50, 20), (20, 1)):  # the last two have to narrow
+        monkeypatch.setattr(P, "MANY", many)
+        got = P.exact_quantiles(df, {c: F.col(c) for c in "abcde"}, points, accuracy)
+        assert set(got) == set(want) and got["d"][0] == 2667
+        assert all(np.allclose(got[c][1], want[c], rtol=1e-12, atol=1e-12) for c in want)
+    assert P.exact_quantiles(df.limit(0), {"a": F.col("a")}) == {}
+
+
+def test_columns_named_like_those_of_the_engine(spark):
+    from scourline.operators import clean as C
+    from scourline.operators import profile as P
+
+    df = spark.createDataFrame([("apple", 1, 2), ("apple", 1, 2), ("aple", 3, 4)], "value string, target int, n int")
+    assert sorted(map(tuple, C.nearest_categories(df, "value").collect())) == [("apple", 1, 2), ("apple", 1, 2), ("apple", 3, 4)]
+    assert P.duplicate_patterns(df).collect()[0].asDict() == {"value": "apple", "target": 1, "n": 2, "n_rows": 2}
