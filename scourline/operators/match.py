@@ -22,19 +22,19 @@ from scourline.sources.rules import DEFAULT, Rule, RuleSet, by_priority
 
 #: Field types in the order in which they are tried, the name parts that suggest them, their types.
 FIELD_TYPES = (
-    ("id", "id identifier code number", None),
-    ("name", "name customer first last full", "text"),
-    ("address", "address street location city state", "text"),
-    ("phone", "phone mobile contact tel cell", "text"),
-    ("email", "email mail e-mail", "text"),
-    ("date", "date time created updated timestamp", "date text"),
-    ("currency", "price cost amount total spent payment", "numeric"),
-    ("quantity", "quantity qty count", "numeric"),
-    ("category", "category type class method status", "text"),
-    ("boolean", "discount applied active enabled flag is_", "boolean text"),
+    ("id", ("id", "identifier", "code", "number"), None),
+    ("name", ("name", "customer", "first", "last", "full"), ("text",)),
+    ("address", ("address", "street", "location", "city", "state"), ("text",)),
+    ("phone", ("phone", "mobile", "contact", "tel", "cell"), ("text",)),
+    ("email", ("email", "mail", "e-mail"), ("text",)),
+    ("date", ("date", "time", "created", "updated", "timestamp"), ("date", "text")),
+    ("currency", ("price", "cost", "amount", "total", "spent", "payment"), ("numeric",)),
+    ("quantity", ("quantity", "qty", "count"), ("numeric",)),
+    ("category", ("category", "type", "class", "method", "status"), ("text",)),
+    ("boolean", ("discount", "applied", "active", "enabled", "flag", "is_"), ("boolean", "text")),
 )
-BOOLEAN_WORDS = "true false yes no 1 0 y n on off enabled disabled".split()
-ID_WORDS = "id identifier key code number".split()
+BOOLEAN_WORDS = ("true", "false", "yes", "no", "1", "0", "y", "n", "on", "off", "enabled", "disabled")
+ID_WORDS = ("id", "identifier", "key", "code", "number")
 _KINDS = {"text": X.is_text, "numeric": X.is_numeric, "boolean": X.is_boolean, "date": X.is_date}
 
 
@@ -49,7 +49,7 @@ def named(name: str, patterns, names: str = "substring") -> bool:
 def detect_field_type(name: str, kind: T.DataType, names: str = "substring") -> str:
     """The first field type whose name parts and data types fit; otherwise the data type's class."""
     for found, patterns, kinds in FIELD_TYPES:
-        if named(name, patterns.split(), names) and (kinds is None or any(_KINDS[k](kind) for k in kinds.split())):
+        if named(name, patterns, names) and (kinds is None or any(_KINDS[k](kind) for k in kinds)):
             return found
     for found, test in (("numeric", X.is_numeric), ("text", X.is_text), ("boolean", X.is_boolean), ("date", X.is_date)):
         if test(kind):
@@ -80,7 +80,7 @@ def evidence(df: DataFrame, freq: DataFrame | None = None) -> dict[str, dict[str
     row = df.agg(*[v.alias(k) for k, v in make.items()]).first().asDict()
     out = {f.name: {k.split("_", 1)[1]: v for k, v in row.items() if k.split("_", 1)[0] == str(i)} for i, f in enumerate(df.schema.fields)}
     freq = P.frequencies(df) if freq is None else freq
-    word = F.lower("value").isin(BOOLEAN_WORDS)
+    word = F.lower("value").isin(*BOOLEAN_WORDS)
     folded = freq.where("value is not null").groupBy("column", F.lower("value").alias("f")).agg(F.max(word.cast("int")).alias("w"))
     words = folded.groupBy("column").agg(F.count(F.lit(1)).alias("folded"), F.sum("w").alias("boolean_words"))
     for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique")).join(words, "column", "left").collect():  # a row for each field
@@ -124,6 +124,13 @@ def id_pattern(name: str, e: dict[str, Any], names: str = "substring") -> bool:
     return bool(named(name, ID_WORDS, names) and e["rows"] and e["n_unique"] / e["rows"] > 0.8)
 
 
+def pattern_tests(df: DataFrame, names: str = "substring", found: dict[str, dict[str, Any]] | None = None) -> DataFrame:
+    """field, phone, email, currency, quantity, id, boolean: which data tests each field passes; a field without values passes none."""
+    found = evidence(df) if found is None else found
+    rows = [(c, phone_pattern(e), email_pattern(e), currency_pattern(e), quantity_pattern(e), id_pattern(c, e, names), boolean_pattern(e)) for c, e in found.items()]
+    return df.sparkSession.createDataFrame(rows, "field string, phone boolean, email boolean, currency boolean, quantity boolean, id boolean, boolean boolean")
+
+
 def advanced(rule: Rule, name: str, e: dict[str, Any], names: str) -> bool:
     tests = {"normalize_phone": phone_pattern, "normalize_email": email_pattern, "normalize_currency": currency_pattern, "normalize_quantities": quantity_pattern}
     if rule.rule_id == "validate_ids":

@@ -5,6 +5,7 @@ The tables hold no nulls and few duplicates, so dirty views are derived by the s
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from itertools import combinations
 from uuid import uuid4
@@ -474,16 +475,16 @@ _SHOP = "CASE WHEN o_orderkey % 8 <> 0 THEN o_totalprice END AS total, CASE WHEN
 _SHARE = "(count(*) - count({0})) * 100.0::DOUBLE / count(*)"
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS type, '{c}' AS field, '{s}' AS severity, '{i}' AS business_impact, count(*) - count({c}) AS affected_records, {rounded(_SHARE.format(c), 9)} AS percentage FROM (SELECT {_SHOP} FROM orders)" for t, c, s, i in (("missing_data", "total", "high", "high"), ("critical_missing_data", "discount", "critical", "high"), ("missing_data", "note", "low", "low"))))
+@query(" UNION ALL ".join(f"SELECT '{t}' AS type, '{c}' AS field, '{s}' AS severity, '{i}' AS business_impact, printf('%s: %.1f%% missing', '{c}', {_SHARE.format(c)}) AS description, count(*) - count({c}) AS affected_records, {rounded(_SHARE.format(c), 9)} AS percentage FROM (SELECT {_SHOP} FROM orders)" for t, c, s, i in (("missing_data", "total", "high", "high"), ("critical_missing_data", "discount", "critical", "high"), ("missing_data", "note", "low", "low"))))
 def missing_anomalies(spark, sf_dir):
     df = table(spark, sf_dir, "orders").selectExpr(*_split(_SHOP))
-    return r(Q.missing_anomalies(df).drop("description"), "percentage", places=9)
+    return r(Q.missing_anomalies(df), "percentage", places=9)
 
 
-@query(f"SELECT 'calculation_mismatch' AS type, 'total' AS field, CASE WHEN p > 5 THEN 'high' ELSE 'medium' END AS severity, n AS affected_records, {rounded('p', 9)} AS percentage FROM (SELECT count(*) FILTER (abs(price * quantity - total) > 0.01) AS n, count(*) FILTER (abs(price * quantity - total) > 0.01) * 100.0::DOUBLE / count(*) AS p FROM (SELECT {TOTALS} FROM lineitem))")
+@query(f"SELECT 'calculation_mismatch' AS type, 'total' AS field, CASE WHEN p > 5 THEN 'high' ELSE 'medium' END AS severity, n || ' totals differ' AS description, 'high' AS business_impact, n AS affected_records, {rounded('p', 9)} AS percentage FROM (SELECT count(*) FILTER (abs(price * quantity - total) > 0.01) AS n, count(*) FILTER (abs(price * quantity - total) > 0.01) * 100.0::DOUBLE / count(*) AS p FROM (SELECT {TOTALS} FROM lineitem))")
 def financial_anomalies(spark, sf_dir):
     found = Q.financial_anomalies(totals(spark, sf_dir), "total", "price", "quantity")
-    return r(found.select("type", "field", "severity", "affected_records", "percentage"), "percentage", places=9)
+    return r(found, "percentage", places=9)
 
 
 _LEVELS = "CASE WHEN p <= 0 THEN 0 WHEN p < 3 THEN 1 WHEN p < 10 THEN 2 WHEN p < 30 THEN 3 ELSE 4 END"
@@ -543,29 +544,145 @@ def operation_summary(spark, sf_dir):
     return C.operation_summary(_log(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('handle_missing_categorical', 'Universal', 1, 100.0, 0.8, 'medium'), ('remove_exact_duplicates', 'Universal', 1, 100.0, 1.0, 'high'), ('standardize_names', 'Field-Specific', 1, 100.0, 0.92, 'high'), ('trim_whitespace', 'Universal', 1, 100.0, 1.0, 'high'), ('normalize_quantities', 'Field-Specific', 2, 100.0, 0.95, 'high'), ('validate_ids', 'Field-Specific', 1, 100.0, 0.9, 'high')) AS t(rule_id, family, applications, success_percentage, mean_confidence, confidence_bucket)")
-def rule_performance(spark, sf_dir):
-    return Q.rule_performance(_log(spark, sf_dir)).drop("records_affected").withColumn("applications", F.col("applications").cast("int"))
+_GAPS = "count(*) FILTER (o_orderkey % 4 = 0)"
+_KNOWN = "count(*) FILTER (o_orderkey % 4 <> 0)"
+_PERFORMANCE = " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule_id, '{family}' AS family, CAST({n} AS BIGINT) AS applications, 100.0::DOUBLE AS success_percentage, {sure}::DOUBLE AS mean_confidence, '{bucket}' AS confidence_bucket, CAST({affected} AS BIGINT) AS records_affected FROM orders"
+    for rule, family, n, sure, bucket, affected in (
+        ("handle_missing_categorical", "Universal", 1, 0.8, "medium", _GAPS),
+        ("remove_exact_duplicates", "Universal", 1, 1.0, "high", "count(*)"),
+        ("standardize_names", "Field-Specific", 1, 0.92, "high", "count(*)"),
+        ("trim_whitespace", "Universal", 1, 1.0, "high", _KNOWN),
+        ("normalize_quantities", "Field-Specific", 2, 0.95, "high", "0 * count(*)"),
+        ("validate_ids", "Field-Specific", 1, 0.9, "high", "0 * count(*)"),
+    )
+)
 
 
-ORACLE_SQL["rule_performance"] = f"SELECT rule_id, family, applications, CAST(success_percentage AS DOUBLE) AS success_percentage, CAST(mean_confidence AS DOUBLE) AS mean_confidence, confidence_bucket FROM ({ORACLE_SQL['rule_performance']})"
+@query(_PERFORMANCE)
+def rule_performance(spark, sf_dir):
+    return Q.rule_performance(_log(spark, sf_dir))
+
+
+@query(f"SELECT * FROM ({_PERFORMANCE}) ORDER BY applications DESC, rule_id LIMIT 5")
+def top_rules(spark, sf_dir):
+    return Q.top_rules(_log(spark, sf_dir))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule_id, '{field}' AS field, '{kind}' AS operation, {sure}::DOUBLE AS confidence, CAST({affected} AS BIGINT) AS records_affected, CAST(1 AS BIGINT) AS applications, 0 AS issues_found FROM orders"
+        for rule, field, kind, sure, affected in (
+            ("handle_missing_categorical", "name", "missing_value", 0.8, _GAPS),
+            ("remove_exact_duplicates", "all", "deduplication", 1.0, "count(*)"),
+            ("standardize_names", "name", "standardization", 0.92, "count(*)"),
+            ("trim_whitespace", "all_text", "standardization", 1.0, _KNOWN),
+            ("normalize_quantities", "o_orderkey", "normalization", 0.95, "0 * count(*)"),
+            ("normalize_quantities", "o_custkey", "normalization", 0.95, "0 * count(*)"),
+            ("validate_ids", "o_orderkey", "validation", 0.9, "0 * count(*)"),
+        )
+    )
+)
+def applied_rules(spark, sf_dir):
+    return reports.applied_rules(_log(spark, sf_dir)).drop("result", "method")
 
 
-@query("SELECT * FROM (VALUES ('handle_missing_categorical', 'name'), ('remove_exact_duplicates', 'all'), ('standardize_names', 'name'), ('trim_whitespace', 'all_text'), ('normalize_quantities', 'o_orderkey'), ('normalize_quantities', 'o_custkey'), ('validate_ids', 'o_orderkey')) AS t(rule_id, field)")
-def applied_rules(spark, sf_dir):
-    return reports.applied_rules(_log(spark, sf_dir)).select("rule_id", "field")
+_FILLED = f"(SELECT (count(total) + count(discount) + count(note) + count(customer)) / (4.0::DOUBLE * count(*)) AS share FROM (SELECT {_SHOP} FROM orders))"
 
 
-@query("SELECT * FROM (VALUES ('completeness', 'medium'), ('sparse_columns', 'medium'), ('anomalies', 'medium')) AS t(type, severity)")
+@query(f"SELECT 'completeness' AS type, 'medium' AS severity, printf('Completeness is %.1f%%', 100 * share) AS message, 'completeness' AS metric, {rounded('share', 9)} AS value, 0.95::DOUBLE AS threshold, '' AS affected FROM {_FILLED} UNION ALL SELECT 'sparse_columns', 'medium', 'Over 20% null: discount', 'null_percentage', 1.0, 20.0, 'discount'")
 def alerts(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").selectExpr(*_split(_SHOP))
-    return Q.alerts(df).select("type", "severity")
+    """Those on completeness and sparse columns; the alert on anomalies counts what ``detector_rollup`` is compared on."""
+    found = Q.alerts(table(spark, sf_dir, "orders").selectExpr(*_split(_SHOP)))
+    return r(found.where("type <> 'anomalies'").withColumn("affected", F.array_join("affected_columns", ",")).drop("affected_columns"), "value", places=9)
 
 
-@query(f"SELECT 'value' AS \"column\", 5 AS n_samples, count(*) FILTER (value < lo OR value > hi) AS outlier_count FROM events, {_BOUNDS}")
+@query(f"SELECT 'medium' AS severity, printf('Completeness is %.1f%%', 100 * share) || '; Over 20% null: discount' AS messages FROM {_FILLED}")
+def alerts_by_severity(spark, sf_dir):
+    found = Q.alerts(table(spark, sf_dir, "orders").selectExpr(*_split(_SHOP))).where("type <> 'anomalies'")
+    return Q.alerts_by_severity(found).select("severity", F.array_join("messages", "; ").alias("messages"))
+
+
+@query(f"SELECT 'value' AS \"column\", (SELECT count(*) FROM events, {_BOUNDS} WHERE value < lo OR value > hi) AS outlier_count, CAST(row_number() OVER (ORDER BY far DESC, value) - 1 AS INTEGER) AS place, value AS sample FROM (SELECT value, greatest(lo - value, value - hi) AS far FROM events, {_BOUNDS} WHERE value < lo OR value > hi) ORDER BY far DESC, value LIMIT 5")
 def statistical_outliers(spark, sf_dir):
     found = Q.statistical_outliers(table(spark, sf_dir, "events").select("value"))
-    return found.select("column", F.size("sample_values").alias("n_samples"), "outlier_count")
+    return found.select("column", "outlier_count", F.posexplode("sample_values").alias("place", "sample"))
+
+
+_NOTES = "value, 'same' AS fixed, CASE WHEN event_id % 97 = 0 THEN repeat('xy', 30) ELSE event_type END AS note"
+
+
+@query(f"SELECT 'pattern' AS detector, CAST(count(*) FILTER (abs(length(note) - m) > 2 * s) > 0 AS BIGINT) AS columns FROM (SELECT {_NOTES} FROM events), (SELECT avg(length(note)) AS m, stddev_pop(length(note)) AS s FROM (SELECT {_NOTES} FROM events)) UNION ALL SELECT 'statistical', CAST(count(*) FILTER (value < lo OR value > hi) > 0 AS BIGINT) FROM events, {_BOUNDS} UNION ALL SELECT 'value', CAST(count(DISTINCT value) < 0.01 * count(*) AS BIGINT) + CAST(1 < 0.01 * count(*) OR count(*) > 0 AS BIGINT) + CAST(count(DISTINCT note) < 0.01 * count(*) AS BIGINT) FROM (SELECT {_NOTES} FROM events)")
+def detector_rollup(spark, sf_dir):
+    return Q.detector_rollup(table(spark, sf_dir, "events").selectExpr(*_split(_NOTES)))
+
+
+_FLAGS = "CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice > 1000 END AS urgent, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice > 5 END AS paid, CASE WHEN o_orderkey % 3 = 0 THEN 1 END AS n"
+
+
+@query(f"SELECT 'data_type_inconsistency' AS type, 'urgent' AS field, 'medium' AS severity, printf('%.1f%% of a boolean field is null', p) AS description, 'medium' AS business_impact, n AS affected_records, {rounded('p', 9)} AS percentage FROM (SELECT count(*) FILTER (o_orderkey % 3 <> 0) AS n, count(*) FILTER (o_orderkey % 3 <> 0) * 100.0::DOUBLE / count(*) AS p FROM orders)")
+def boolean_null_anomalies(spark, sf_dir):
+    return r(Q.boolean_null_anomalies(table(spark, sf_dir, "orders").selectExpr(*_split(_FLAGS))), "percentage", places=9)
+
+
+@query("SELECT 'performance_bottleneck' AS type, 'clean' AS field, 'medium' AS severity, 'clean took 6.00 of 10.00 s' AS description, 'medium' AS business_impact, CAST(0 AS BIGINT) AS affected_records, 60.0::DOUBLE AS percentage")
+def performance_anomalies(spark, sf_dir):
+    return Q.performance_anomalies(spark, {"profile": 3.0, "match": 1.0, "clean": 6.0})
+
+
+@query(values("detected_type, fields, priority, advice", [("text", "c_mktsegment", "low", "consider a text rule"), ("unknown", "odd", "medium", "write a custom rule"), ("numeric", "balance", "medium", "consider a range rule")]))
+def coverage_advice(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").selectExpr("c_mktsegment", "-c_acctbal - 0.123 AS balance", "array(c_nationkey) AS odd", "c_name")
+    kinds = M.detected_types(df)
+    advice = Q.coverage_advice(kinds.where(F.col("field").isin(list(M.match(df).unmatched))))
+    return advice.withColumn("fields", F.array_join("fields", ","))
+
+
+_CONTACTS = "c_custkey AS customer_id, CASE WHEN c_custkey % 10 < 8 THEN '206-555-0143' ELSE 'none' END AS line, CASE WHEN c_custkey % 10 < 6 THEN 'a.b@post.org' ELSE 'none' END AS box, CASE WHEN c_custkey % 5 < 2 THEN concat('$', c_custkey) ELSE 'none' END AS fee, c_acctbal AS balance, -c_nationkey AS shift, CASE WHEN c_custkey % 4 > 0 THEN 'yes' WHEN c_custkey % 8 > 0 THEN 'OFF' END AS agreed"
+_TESTS = ("phone", "email", "currency", "quantity", "id", "boolean")
+_PASSED = {
+    "customer_id": {"quantity": "count(*) > 0", "id": "count(DISTINCT customer_id) > 0.8 * count(*)"},
+    "line": {"phone": "count(*) FILTER (line <> 'none') >= 0.7 * count(*)"},
+    "box": {"email": "count(*) FILTER (box <> 'none') >= 0.7 * count(*)"},
+    "fee": {"currency": "count(*) FILTER (fee <> 'none') >= 0.3 * count(*)"},
+    "balance": {"currency": "count(*) FILTER (abs(balance * 100 - round(balance * 100)) < 1e-6 AND abs(balance * 10 - round(balance * 10)) >= 1e-6) >= 0.5 * count(*)"},
+    "shift": {"quantity": "count(*) FILTER (shift >= 0) >= 0.9 * count(*)"},
+    "agreed": {"boolean": "count(DISTINCT agreed) FILTER (agreed IN ('yes', 'OFF')) >= 0.7 * count(DISTINCT agreed)"},
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, " + ", ".join(f"{by.get(t, 'false')} AS {t}" for t in _TESTS) + f" FROM (SELECT {_CONTACTS} FROM customer)" for c, by in _PASSED.items()))
+def pattern_tests(spark, sf_dir):
+    return M.pattern_tests(table(spark, sf_dir, "customer").selectExpr(*_split(_CONTACTS)))
+
+
+@query(values("field, rule_id, rule_type, scope", [("_dataset_rules", "validate_transaction_totals", "validation", "dataset"), ("Discount Applied", "validate_discount_range", "validation", "dataset")]))
+def dataset_rules(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("Price Per Unit"), F.col("l_quantity").alias("Quantity"), F.col("l_tax").alias("Total Spent"), F.col("l_discount").alias("Discount Applied"))
+    return M.match(df).to_df(spark).where("scope = 'dataset'").select("field", "rule_id", "rule_type", "scope")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, quantity, price, CASE WHEN abs(total - price * quantity) > 0.01 THEN {rounded('price * quantity', 2)} ELSE total END AS total FROM (SELECT {TOTALS} FROM lineitem)")
+def dataset_pass(spark, sf_dir):
+    """The cleaning plan with the rule on totals alone."""
+    df = totals(spark, sf_dir)
+    rule = rules.parse({"dataset_specific_rules": [{"rule_id": "validate_transaction_totals", "rule_type": "validation", "required_fields": ["total", "price", "quantity"]}]}).rules
+    return C.Cleaner().clean(df, M.Matches({}, list(rule)))
+
+
+@query(values("rule_id, field, error, status", [("no_such_rule", "r_name", "unknown rule", "failed"), ("normalize_email", "r_regionkey", "does not apply to int32", "failed")]))
+def rule_errors(spark, sf_dir):
+    """Rules that can't be applied leave the data and are logged."""
+    cleaner = C.Cleaner()
+    df = table(spark, sf_dir, "region").selectExpr("CAST(r_regionkey AS INT) AS r_regionkey", "r_name")
+    unknown = rules.Rule("no_such_rule", "standardization", "field")
+    cleaner.clean(df, M.Matches({"r_name": [unknown], "r_regionkey": [rules.DEFAULT.get("normalize_email")]}))
+    return cleaner.error_df(spark).select("rule_id", "field", "error", "status")
+
+
+@query(f"SELECT event_id, {rounded('greatest(lo, least(hi, value))', 6)} AS value FROM events, (SELECT avg(value) - 1.5 * stddev_samp(value) AS lo, avg(value) + 1.5 * stddev_samp(value) AS hi FROM events)")
+def zscore_cap(spark, sf_dir):
+    return r(C.handle_outliers(table(spark, sf_dir, "events").select("event_id", "value"), "value", "zscore", 1.5, "cap")[0], "value")
 
 
 # Sources and streams.
@@ -577,9 +694,19 @@ def csv_round_trip(spark, sf_dir):
     return tables.load_csv(spark, path)
 
 
-@query("SELECT rule_id, rule_type, CAST(confidence AS DOUBLE) AS confidence, priority FROM (" + values("rule_id, rule_type, confidence, priority", [(x.rule_id, x.rule_type, x.confidence, x.priority) for x in rules.DEFAULT.rules]) + ")")
+_RULE_FILE = """{
+    "universal_rules": [{"rule_id": "remove_exact_duplicates", "rule_type": "deduplication", "confidence": 1, "priority": 1, "description": "one of each"}],
+    "field_specific_rules": [{"rule_id": "short_streets", "rule_type": "standardization", "confidence": 0.88, "field_patterns": ["street", "road"], "data_types": ["string"],
+                              "transformations": {"abbreviations": {"Lane": "Ln"}}, "enabled": false}],
+    "dataset_specific_rules": [{"rule_id": "sums", "rule_type": "validation", "priority": 4, "tolerance": 0.5}]
+}"""
+
+
+@query("SELECT rule_id, rule_type, scope, field_patterns, CAST(confidence AS DOUBLE) AS confidence, priority, enabled, abbreviations, tolerance FROM (VALUES ('remove_exact_duplicates', 'deduplication', 'universal', '', 1.0, 1, true, NULL, NULL), ('short_streets', 'standardization', 'field', 'street,road', 0.88, 999, false, '{\"Lane\": \"Ln\"}', NULL), ('sums', 'validation', 'dataset', '', 1.0, 4, true, NULL, '0.5')) AS t(rule_id, rule_type, scope, field_patterns, confidence, priority, enabled, abbreviations, tolerance)")
 def rule_table(spark, sf_dir):
-    return rules.DEFAULT.to_df(spark).select("rule_id", "rule_type", "confidence", "priority")
+    """A rule document as a table; keys that a rule doesn't know are its parameters."""
+    found = rules.parse(json.loads(_RULE_FILE)).to_df(spark)
+    return found.select("rule_id", "rule_type", "scope", F.array_join("field_patterns", ",").alias("field_patterns"), "confidence", "priority", "enabled", F.col("params")["abbreviations"].alias("abbreviations"), F.col("params")["tolerance"].alias("tolerance"))
 
 
 def _stream(spark, sf_dir, *columns):

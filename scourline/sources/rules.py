@@ -40,8 +40,8 @@ class RuleSet:
         return spark.createDataFrame(rows, "rule_id string, rule_type string, scope string, field_patterns array<string>, data_types array<string>, confidence double, priority int, enabled boolean, params map<string,string>")
 
 
-def _rule(scope: str, rule_id: str, rule_type: str, confidence: float, priority: int, patterns: str = "", kinds: str = "", **params: Any) -> Rule:
-    return Rule(rule_id, rule_type, scope, confidence, priority, True, tuple(patterns.split()), tuple(kinds.split()), params)
+def _rule(scope: str, rule_id: str, rule_type: str, confidence: float, priority: int, patterns: tuple[str, ...] = (), kinds: tuple[str, ...] = (), **params: Any) -> Rule:
+    return Rule(rule_id, rule_type, scope, confidence, priority, True, patterns, kinds, params)
 
 
 #: Ids, confidences, priorities, name patterns and parameters of the default rules.
@@ -50,17 +50,17 @@ DEFAULT = RuleSet((
     _rule("universal", "trim_whitespace", "standardization", 1.0, 2),
     _rule("universal", "handle_missing_numeric", "missing_value", 0.85, 3, strategy="median"),
     _rule("universal", "handle_missing_categorical", "missing_value", 0.80, 4, strategy="mode"),
-    _rule("field", "normalize_phone", "normalization", 0.94, 5, "phone contact mobile tel", "string object"),
-    _rule("field", "normalize_email", "normalization", 0.92, 6, "email mail contact_email user_email", "string object"),
-    _rule("field", "standardize_names", "standardization", 0.92, 7, "name first_name last_name customer_name", "string object"),
-    _rule("field", "standardize_addresses", "standardization", 0.88, 8, "address street location", "string object", abbreviations={"Street": "St", "Avenue": "Ave", "Road": "Rd", "Boulevard": "Blvd"}),
-    _rule("field", "parse_dates", "standardization", 0.95, 9, "date created updated timestamp time", "string object datetime"),
-    _rule("field", "normalize_currency", "normalization", 0.95, 10, "price amount cost total spent", "float int string object", decimal_places=2),
-    _rule("field", "standardize_categories", "standardization", 0.85, 11, "category type class method", "string object", similarity_threshold=0.8),
-    _rule("field", "validate_ids", "validation", 0.90, 12, "id customer_id transaction_id order_id", "string object int float", checks=["not_null", "unique", "format_consistency"]),
-    _rule("field", "normalize_quantities", "normalization", 0.95, 13, "quantity qty count number", "int float string object"),
-    _rule("field", "standardize_boolean", "standardization", 0.90, 14, "discount applied active enabled flag", "bool string object int"),
-    _rule("field", "detect_numeric_outliers", "outlier_detection", 0.85, 15, "price amount total quantity count", "int float", method="iqr", threshold=1.5, action="flag"),
+    _rule("field", "normalize_phone", "normalization", 0.94, 5, ("phone", "contact", "mobile", "tel"), ("string", "object")),
+    _rule("field", "normalize_email", "normalization", 0.92, 6, ("email", "mail", "contact_email", "user_email"), ("string", "object")),
+    _rule("field", "standardize_names", "standardization", 0.92, 7, ("name", "first_name", "last_name", "customer_name"), ("string", "object")),
+    _rule("field", "standardize_addresses", "standardization", 0.88, 8, ("address", "street", "location"), ("string", "object"), abbreviations={"Street": "St", "Avenue": "Ave", "Road": "Rd", "Boulevard": "Blvd"}),
+    _rule("field", "parse_dates", "standardization", 0.95, 9, ("date", "created", "updated", "timestamp", "time"), ("string", "object", "datetime")),
+    _rule("field", "normalize_currency", "normalization", 0.95, 10, ("price", "amount", "cost", "total", "spent"), ("float", "int", "string", "object"), decimal_places=2),
+    _rule("field", "standardize_categories", "standardization", 0.85, 11, ("category", "type", "class", "method"), ("string", "object"), similarity_threshold=0.8),
+    _rule("field", "validate_ids", "validation", 0.90, 12, ("id", "customer_id", "transaction_id", "order_id"), ("string", "object", "int", "float"), checks=["not_null", "unique", "format_consistency"]),
+    _rule("field", "normalize_quantities", "normalization", 0.95, 13, ("quantity", "qty", "count", "number"), ("int", "float", "string", "object")),
+    _rule("field", "standardize_boolean", "standardization", 0.90, 14, ("discount", "applied", "active", "enabled", "flag"), ("bool", "string", "object", "int")),
+    _rule("field", "detect_numeric_outliers", "outlier_detection", 0.85, 15, ("price", "amount", "total", "quantity", "count"), ("int", "float"), method="iqr", threshold=1.5, action="flag"),
     _rule("dataset", "validate_transaction_totals", "validation", 0.98, 16, tolerance=0.01, required_fields=["Total Spent", "Price Per Unit", "Quantity"]),
     _rule("dataset", "validate_discount_range", "validation", 0.95, 17, field="Discount Applied"),
 ))
