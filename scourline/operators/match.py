@@ -64,9 +64,9 @@ def detected_types(df: DataFrame, names: str = "substring") -> DataFrame:
 
 
 def evidence(df: DataFrame, freq: DataFrame | None = None) -> dict[str, dict[str, Any]]:
-    """What the data tests need of each field: one aggregate row, and distinct counts from value frequencies, which a
+    """What the data tests need of each field: aggregates of some columns each, and distinct counts from value frequencies, which a
     profile may have stored."""
-    make = {}
+    make = []
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
         own = {"rows": F.count(F.lit(1)), "n": F.count(c)}
@@ -76,8 +76,8 @@ def evidence(df: DataFrame, freq: DataFrame | None = None) -> dict[str, dict[str
             d = c.cast("double")
             cents, dimes = F.abs(d * 100 - F.round(d * 100)) < 1e-6, F.abs(d * 10 - F.round(d * 10)) < 1e-6
             own |= {"zero_one": F.count_if(d.isin(0.0, 1.0)), "not_negative": F.count_if(d >= 0), "two_decimals": F.count_if(cents & ~dimes), "min": F.min(d), "max": F.max(d), "mean": F.avg(d), "decimals": F.count_if(d != F.floor(d))}
-        make |= {f"{i}_{k}": v for k, v in own.items()}
-    row = df.agg(*[v.alias(k) for k, v in make.items()]).first().asDict()
+        make.append([v.alias(f"{i}_{k}") for k, v in own.items()])
+    row = P.gather(df, make)
     out = {f.name: {k.split("_", 1)[1]: v for k, v in row.items() if k.split("_", 1)[0] == str(i)} for i, f in enumerate(df.schema.fields)}
     freq = P.frequencies(df) if freq is None else freq
     word = F.lower("value").isin(*BOOLEAN_WORDS)

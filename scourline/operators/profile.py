@@ -4,6 +4,9 @@ One pass holds everything that partial aggregation can combine (counts, extremes
 come from a value-frequency table, whose groups are combined before the shuffle and which a caller may store and hand to
 all that need it; exact quantiles take passes of their own, in bounded memory. Distinct aggregates are never mixed into the
 first pass: Spark would expand every row for each of them.
+
+An aggregate of very many expressions becomes a method too long for the JVM to compile and runs many times slower, so
+the passes take a bounded number of expressions each. They split by columns, so a columnar source is read no more often.
 """
 
 from __future__ import annotations
@@ -46,11 +49,27 @@ def _each(columns: list[str], make) -> list[Column]:
     return [v.alias(f"{i}_{k}") for i, c in enumerate(columns) for k, v in make(_col(c)).items()]
 
 
+WIDTH = 24  # expressions of one aggregate
+
+
 def _measured(df: DataFrame, columns: list[str], make, fields: dict[str, str]) -> DataFrame:
-    """One row per column from one aggregate; no row without columns."""
+    """One row per column, from aggregates of some columns each; no row without columns."""
     if not columns:
         return df.sparkSession.createDataFrame([], ", ".join(["column string", *(f"{k} {t}" for k, t in fields.items())]))
-    return _long(df.agg(*_each(columns, make)), columns, fields)
+    step = max(1, WIDTH // len(fields))
+    cuts = [columns[i : i + step] for i in range(0, len(columns), step)]
+    return reduce(DataFrame.union, [_long(df.agg(*_each(cut, make)), cut, fields) for cut in cuts])
+
+
+def gather(df: DataFrame, groups: list[list[Column]]) -> dict:
+    """The values of named aggregates as one row, a few groups (the aggregates of one column) a pass."""
+    out, held = {}, []
+    for i, group in enumerate(groups):
+        held += group
+        if i + 1 == len(groups) or len(held) + len(groups[i + 1]) > WIDTH:
+            out |= df.agg(*held).first().asDict() if held else {}
+            held = []
+    return out
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -117,16 +136,17 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], points: tuple[floa
         return [max(0.0, p - slack), min(1.0, p + slack)]
 
     wide = [x for p in points for x in around(p)]
-    first = d.agg(*[f.alias(f"{k}{i}") for i in range(len(names)) for k, f in (("n", F.count(f"v{i}")), ("lo", F.min(f"v{i}")), ("hi", F.max(f"v{i}")), ("q", F.percentile_approx(f"v{i}", wide, accuracy)))]).first()
+    first = gather(d, [[f.alias(f"{k}{i}") for k, f in (("n", F.count(f"v{i}")), ("lo", F.min(f"v{i}")), ("hi", F.max(f"v{i}")), ("q", F.percentile_approx(f"v{i}", wide, accuracy)))] for i in range(len(names))])
     n = [first[f"n{i}"] for i in range(len(names))]
     rank = {(i, j): (n[i] - 1) * p for i in range(len(names)) if n[i] for j, p in enumerate(points)}
     bracket = {(i, j): (first[f"q{i}"][2 * j], first[f"q{i}"][2 * j + 1]) for i, j in rank}
     open_, ready, below = set(rank), {}, {}
+    counted: dict[tuple[int, int], list[tuple[float, int]]] = {}
     last: dict[tuple[int, int], int] = {}
     while open_:
         keys = sorted(open_)
         inside = lambda k: F.col(f"v{k[0]}").between(*map(F.lit, bracket[k]))
-        row = d.agg(*[f.alias(f"{x}{t}") for t, k in enumerate(keys) for x, f in (("b", F.count_if(F.col(f"v{k[0]}") < F.lit(bracket[k][0]))), ("w", F.count_if(inside(k))))]).first()
+        row = gather(d, [[f.alias(f"{x}{t}") for x, f in (("b", F.count_if(F.col(f"v{k[0]}") < F.lit(bracket[k][0]))), ("w", F.count_if(inside(k))))] for t, k in enumerate(keys)])
         narrow = []
         for t, k in enumerate(keys):
             b, w = row[f"b{t}"], row[f"w{t}"]
@@ -138,6 +158,8 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], points: tuple[floa
             else:  # few, or hardly any different ones
                 open_.discard(k)
                 ready[k], below[k] = bracket[k], b
+                if bracket[k][0] == bracket[k][1]:  # a single value, whose count is known
+                    counted[k] = [(bracket[k][0], w)]
         if narrow:
             at = lambda k, b, w: [max(0.0, (math.floor(rank[k]) - b) / w - slack), min(1.0, (math.ceil(rank[k]) - b + 1) / w + slack)]
             q = d.agg(*[F.percentile_approx(F.when(inside(k), F.col(f"v{k[0]}")), at(k, b, w), accuracy).alias(f"q{t}") for t, (k, b, w) in enumerate(narrow)]).first()
@@ -145,16 +167,17 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], points: tuple[floa
                 bracket[k] = (q[f"q{t}"][0], q[f"q{t}"][1])
     if not ready:
         return {}
-    keys = sorted(ready)
-    held = F.array_compact(F.array(*[F.when(F.col(f"v{k[0]}").between(*map(F.lit, ready[k])), F.struct(F.lit(t).alias("t"), F.col(f"v{k[0]}").alias("v"))) for t, k in enumerate(keys)]))
-    counted: dict[int, list[tuple[float, int]]] = {t: [] for t in range(len(keys))}
-    for r in d.select(F.explode(held).alias("x")).groupBy("x.t", "x.v").count().collect():
-        counted[r["t"]].append((r["v"], r["count"]))
+    keys = [k for k in sorted(ready) if k not in counted]
+    if keys:
+        inside = lambda k: F.col(f"v{k[0]}").between(*map(F.lit, ready[k]))
+        held = F.array_compact(F.array(*[F.when(inside(k), F.struct(F.lit(t).alias("t"), F.col(f"v{k[0]}").alias("v"))) for t, k in enumerate(keys)]))
+        for r in d.where(reduce(Column.__or__, map(inside, keys))).select(F.explode(held).alias("x")).groupBy("x.t", "x.v").count().collect():
+            counted.setdefault(keys[r["t"]], []).append((r["v"], r["count"]))
     out: dict[str, tuple[int, list[float]]] = {names[i]: (n[i], []) for i in range(len(names)) if n[i]}
-    for t, k in enumerate(keys):
+    for k in sorted(ready):
         low, high = math.floor(rank[k]), math.ceil(rank[k])
         seen, got = below[k], {}
-        for v, c in sorted(counted[t]):
+        for v, c in sorted(counted[k]):
             for r in (low, high):
                 if seen <= r < seen + c:
                     got[r] = v
@@ -203,8 +226,10 @@ def outlier_counts(df: DataFrame, columns: list[str] | None = None, k: float = 1
     columns = [c for c in columns if c in bounds]
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, lower double, upper double, outlier_count bigint, outlier_percentage double")
-    agg = df.agg(*[v for i, c in enumerate(columns) for v in (F.lit(bounds[c][0]).alias(f"{i}_lower"), F.lit(bounds[c][1]).alias(f"{i}_upper"), F.count_if((_col(c) < bounds[c][0]) | (_col(c) > bounds[c][1])).alias(f"{i}_outlier_count"), F.count(_col(c)).alias(f"{i}_n"))])
-    out = _long(agg, columns, {"lower": "double", "upper": "double", "outlier_count": "bigint", "n": "bigint"})
+    out = reduce(DataFrame.union, [
+        _long(df.agg(*[v.alias(f"{i}_{k}") for i, c in enumerate(cut) for k, v in (("lower", F.lit(bounds[c][0])), ("upper", F.lit(bounds[c][1])), ("outlier_count", F.count_if((_col(c) < bounds[c][0]) | (_col(c) > bounds[c][1]))), ("n", F.count(_col(c))))]), cut, {"lower": "double", "upper": "double", "outlier_count": "bigint", "n": "bigint"})
+        for cut in (columns[x : x + WIDTH // 4] for x in range(0, len(columns), WIDTH // 4))
+    ])
     return out.select("column", "lower", "upper", "outlier_count", F.when(F.col("n") > 0, F.col("outlier_count") * 100.0 / F.col("n")).otherwise(0.0).alias("outlier_percentage"))
 
 
@@ -325,9 +350,12 @@ def correlations(df: DataFrame, columns: list[str] | None = None, places: int =
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
-    agg = df.agg(*[F.corr(_col(a).cast("double"), _col(b).cast("double")).alias(f"{i}_r") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), X.round_half_up(_col(f"{i}_r"), places).alias("correlation")) for i, (a, b) in enumerate(pairs)]
-    return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    parts = []
+    for some in (pairs[i : i + WIDTH // 3] for i in range(0, len(pairs), WIDTH // 3)):  # six sums each
+        agg = df.agg(*[F.corr(_col(a).cast("double"), _col(b).cast("double")).alias(f"{i}_r") for i, (a, b) in enumerate(some)])
+        rows = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), X.round_half_up(_col(f"{i}_r"), places).alias("correlation")) for i, (a, b) in enumerate(some)]
+        parts.append(agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
+    return reduce(DataFrame.union, parts)
 
 
 def high_correlations(df: DataFrame, columns: list[str] | None = None, least: float = 0.7, strong: float = 0.9) -> DataFrame:
