@@ -403,7 +403,7 @@ class Cleaner:
         out = out.select(*[F.col(f"`{c}`") for c in columns])
         final = self._counts(out)
         unique = P.row_uniqueness(out).first()["duplicate_rows"]
-        self.summary = self._summarise(before, final, unique)
+        self.summary = self._summarise(before, final, unique) | {"estimated_bytes_before": P.estimated_bytes(df), "estimated_bytes_after": P.estimated_bytes(out)}
         return out
 
     def _counts(self, df: DataFrame) -> dict[str, int]:

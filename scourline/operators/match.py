@@ -1,7 +1,7 @@
 """What a field means and which rules it gets.
 
-The tests on data run as aggregates over all values of a column; what they need is gathered in one pass for all
-columns (and one value-frequency pass for distinct counts), so matching reads the data no further. A test without
+The tests on data run as aggregates over all values of a column; what they need is gathered in a pass over the
+numbers and in the table of value frequencies, so matching reads the data no further. A test without
 evidence (no non-null value) fails. ``names="substring"`` finds a pattern anywhere in a field's name; ``names="token"``
 asks for whole words, which keeps ``count`` out of ``discount``.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from scourline.functions import text as X
 from scourline.operators import profile as P
+from scourline.plans.scratch import keep
 from scourline.sources.rules import DEFAULT, Rule, RuleSet, by_priority
 
 #: Field types in the order in which they are tried, the name parts that suggest them, their types.
@@ -63,30 +64,55 @@ def detected_types(df: DataFrame, names: str = "substring") -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "field string, dtype string, detected_type string")
 
 
+#: What the tests need of a text column, over the distinct values v of which each occurs n times.
+_TEXT = {
+    "phone": X.is_phone,
+    "email": X.email_like,
+    "currency": lambda v: v.rlike(X.CURRENCY),
+    "digits": lambda v: v.rlike(r"\p{Nd}"),
+    "special": lambda v: v.rlike(X.SPECIAL),
+    "upper": X.is_upper,
+    "mixed": lambda v: X.has_upper(v) & X.has_lower(v),
+}
+
+
 def evidence(df: DataFrame, freq: DataFrame | None = None) -> dict[str, dict[str, Any]]:
-    """What the data tests need of each field: aggregates of some columns each, and distinct counts from value frequencies, which a
-    profile may have stored."""
+    """What the data tests need of each field: counts and extremes of numbers from the rows, all about text and distinct
+    values from the table of value frequencies, which a profile may have stored."""
+    freq = keep(P.frequencies(df), "frequencies") if freq is None else freq
     make = []
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
         own = {"rows": F.count(F.lit(1)), "n": F.count(c)}
-        if X.is_text(f.dataType):
-            own |= {"phone": F.count_if(X.is_phone(c)), "email": F.count_if(X.email_like(c)), "currency": F.count_if(c.rlike(X.CURRENCY)), "length": F.avg(F.char_length(c)), "digits": F.count_if(c.rlike(r"\p{Nd}")), "special": F.count_if(c.rlike(X.SPECIAL)), "upper": F.count_if(X.is_upper(c)), "mixed": F.count_if(X.has_upper(c) & X.has_lower(c)), "shortest": F.min(F.char_length(c)), "longest": F.max(F.char_length(c))}
-        elif X.is_numeric(f.dataType):
+        if X.is_numeric(f.dataType):
             d = c.cast("double")
-            cents, dimes = F.abs(d * 100 - F.round(d * 100)) < 1e-6, F.abs(d * 10 - F.round(d * 10)) < 1e-6
-            own |= {"zero_one": F.count_if(d.isin(0.0, 1.0)), "not_negative": F.count_if(d >= 0), "two_decimals": F.count_if(cents & ~dimes), "min": F.min(d), "max": F.max(d), "mean": F.avg(d), "decimals": F.count_if(d != F.floor(d))}
+            own |= {"zero_one": F.count_if(d.isin(0.0, 1.0)), "not_negative": F.count_if(d >= 0), "min": F.min(d), "max": F.max(d), "mean": F.avg(d), "decimals": F.count_if(d != F.floor(d))}
+            if not isinstance(f.dataType, T.IntegralType):
+                cents, dimes = F.abs(d * 100 - F.rint(d * 100)) < 1e-6, F.abs(d * 10 - F.rint(d * 10)) < 1e-6
+                own["two_decimals"] = F.count_if(cents & ~dimes)
         make.append([v.alias(f"{i}_{k}") for k, v in own.items()])
     row = P.gather(df, make)
     out = {f.name: {k.split("_", 1)[1]: v for k, v in row.items() if k.split("_", 1)[0] == str(i)} for i, f in enumerate(df.schema.fields)}
-    freq = P.frequencies(df) if freq is None else freq
+
+    v, n = F.col("value"), F.col("n")
+    text = P.text_columns(df)
+    for c in text:
+        out[c] |= dict.fromkeys(_TEXT, 0) | dict.fromkeys(("length", "shortest", "longest"))
+    if text:
+        tests = [F.sum(F.when(test(v), n).otherwise(0)).alias(k) for k, test in _TEXT.items()]
+        lengths = [(F.sum(F.char_length(v) * n) / F.sum(n)).alias("length"), F.min(F.char_length(v)).alias("shortest"), F.max(F.char_length(v)).alias("longest")]
+        for r in freq.where(F.col("column").isin(text) & v.isNotNull()).groupBy("column").agg(*tests, *lengths).collect():  # a row for each field
+            out[r["column"]] |= {k: x for k, x in r.asDict().items() if k != "column"}
+
     word = F.lower("value").isin(*BOOLEAN_WORDS)
     folded = freq.where("value is not null").groupBy("column", F.lower("value").alias("f")).agg(F.max(word.cast("int")).alias("w"))
     words = folded.groupBy("column").agg(F.count(F.lit(1)).alias("folded"), F.sum("w").alias("boolean_words"))
-    for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique")).join(words, "column", "left").collect():  # a row for each field
-        out[r["column"]] |= {"n_unique": r["n_unique"], "folded": r["folded"] or 0, "boolean_words": r["boolean_words"] or 0}
+    samples = F.array_distinct(F.array_compact(F.array(F.max_by(v, F.when(v.isNotNull(), F.struct(n, v))), F.min(v), F.max(v))))
+    distinct = freq.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), samples.alias("samples"))
+    for r in distinct.join(words, "column", "left").collect():  # a row for each field
+        out[r["column"]] |= {"n_unique": r["n_unique"], "samples": r["samples"], "folded": r["folded"] or 0, "boolean_words": r["boolean_words"] or 0}
     for f in df.schema.fields:
-        out[f.name] = {"n_unique": 0, "folded": 0, "boolean_words": 0, "kind": f.dataType} | out[f.name]
+        out[f.name] = {"n_unique": 0, "samples": [], "folded": 0, "boolean_words": 0, "kind": f.dataType} | out[f.name]
     return out
 
 
@@ -189,8 +215,8 @@ def match(df: DataFrame, rules: RuleSet = DEFAULT, names: str = "substring", fou
 
 
 def unmatched_analysis(name: str, e: dict[str, Any]) -> dict[str, Any]:
-    """Shape of a field without rules of its own, and advice."""
-    out: dict[str, Any] = {"reason": "no field rule fits its name, type or values", "null_percentage": 100 * (1 - e["n"] / e["rows"]) if e["rows"] else 0.0, "n_unique": e["n_unique"], "recommendations": []}
+    """Shape of a field without rules of its own, sample values (the most frequent, the least, the greatest, as text), and advice."""
+    out: dict[str, Any] = {"reason": "no field rule fits its name, type or values", "null_percentage": 100 * (1 - e["n"] / e["rows"]) if e["rows"] else 0.0, "n_unique": e["n_unique"], "sample_values": e["samples"], "recommendations": []}
     if X.is_text(e["kind"]) and e["n"]:
         out |= {"avg_length": e["length"], "min_length": e["shortest"], "max_length": e["longest"], "has_digits": e["digits"] > 0, "has_special": e["special"] > 0, "has_upper": e["upper"] > 0, "mixed_case": e["mixed"] > 0}
         if e["mixed"]:

@@ -82,6 +82,11 @@ def dtypes(df: DataFrame) -> dict[str, str]:
     return {f.name: X.token(f.dataType) for f in df.schema.fields}
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of the table's size; no rows are read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """column, n_rows, null_count, null_percentage; every column of the table."""
     out = _measured(df, df.columns, lambda c: {"n_rows": F.count(F.lit(1)), "null_count": F.count_if(c.isNull())}, {"n_rows": "bigint", "null_count": "bigint"})

@@ -38,10 +38,10 @@ def profile_report(df: DataFrame, correlations: bool = True, approximate: bool =
     quality = P.completeness(df).first().asDict() | P.row_uniqueness(df).first().asDict()
     quality["case_issues"] = [r["column"] for r in P.case_inconsistency(df, freq=freq).where("inconsistent").collect()]
     out = {
-        "overview": P.overview(df).first().asDict(),
+        "overview": P.overview(df).first().asDict() | {"estimated_bytes": P.estimated_bytes(df), "dtypes": P.dtypes(df)},
         "columns": {c: columns[c] for c in df.columns},
         "quality": quality,
-        "statistics": P.type_counts(df),
+        "statistics": P.type_counts(df) | {"numeric_summary": {c: {k: columns[c].get(k) for k in ("mean", "std", "min", "max")} for c in numbers}},
         "patterns": {"nulls": {c: v["null_count"] for c, v in columns.items() if v["null_count"]}, "values": [r.asDict() for r in P.value_distribution(df, freq=freq).collect()]},
         "correlations": [r.asDict() for r in P.high_correlations(df).collect()] if correlations else [],
     }

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -109,3 +110,33 @@ def test_anomalies(spark):
     levels = {r["field"]: (r["missing"], r["impact"]) for r in Q.field_matrix(df).collect()}
     assert levels == {"discount": (4, 3), "price": (3, 3), "item": (0, 2)}
     assert all(0 <= r["impact"] <= 100 for r in Q.component_impact(Q.anomalies(df, df)).collect())
+
+
+def test_wide_tables_take_several_passes(spark):
+    n = 40
+    rows = [tuple(float((i * (j + 3)) % 17) if i % (j + 2) else None for j in range(n)) for i in range(200)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{j} double" for j in range(n)))
+    x = np.array(rows, dtype=float)
+    got = {r["column"]: r for r in P.numeric_profile(df).collect()}
+    found = M.evidence(df)
+    assert len(got) == n
+    for j in range(n):
+        own = x[:, j][~np.isnan(x[:, j])]
+        r, e = got[f"c{j}"], found[f"c{j}"]
+        assert (r["n"], r["min"], r["max"]) == (len(own), own.min(), own.max()) and np.allclose([r["mean"], r["std"], r["q25"], r["median"], r["q75"]], [own.mean(), own.std(ddof=1), *np.quantile(own, [0.25, 0.5, 0.75])])
+        assert (e["rows"], e["n"], e["n_unique"]) == (200, len(own), len(set(own)) + (len(own) < 200))
+    few = [f"c{j}" for j in range(6)]
+    pairs = {(r["column_a"], r["column_b"]): r["correlation"] for r in P.correlations(df, few).collect()}
+    assert len(pairs) == 15
+    for (a, b), r in pairs.items():
+        both = ~np.isnan(x[:, int(a[1:])]) & ~np.isnan(x[:, int(b[1:])])
+        assert abs(r - np.corrcoef(x[both, int(a[1:])], x[both, int(b[1:])])[0, 1]) < 1e-8
+
+
+def test_text_evidence_counts_every_row(spark):
+    df = spark.createDataFrame([("Ab1",)] * 3 + [("XY",), (None,), ("",)], "t string")
+    e = M.evidence(df)["t"]
+    assert (e["rows"], e["n"], e["digits"], e["upper"], e["mixed"], e["shortest"], e["longest"], e["length"]) == (6, 5, 3, 1, 3, 0, 3, 2.2)
+    assert sorted(M.unmatched_analysis("t", e)["sample_values"]) == ["", "Ab1", "XY"]
+    none = M.evidence(df.where("t is null"))["t"]
+    assert (none["n"], none["phone"], none["length"], none["samples"]) == (0, 0, None, [])
