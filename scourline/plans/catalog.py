@@ -617,12 +617,12 @@ def detector_rollup(spark, sf_dir):
     return Q.detector_rollup(table(spark, sf_dir, "events").selectExpr(*_split(_NOTES)))
 
 
-_FLAGS = "CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice > 1000 END AS urgent, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice > 5 END AS paid, CASE WHEN o_orderkey % 3 = 0 THEN 1 END AS n"
+_NULL_FLAGS = "CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice > 1000 END AS urgent, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice > 5 END AS paid, CASE WHEN o_orderkey % 3 = 0 THEN 1 END AS n"
 
 
 @query(f"SELECT 'data_type_inconsistency' AS type, 'urgent' AS field, 'medium' AS severity, printf('%.1f%% of a boolean field is null', p) AS description, 'medium' AS business_impact, n AS affected_records, {rounded('p', 9)} AS percentage FROM (SELECT count(*) FILTER (o_orderkey % 3 <> 0) AS n, count(*) FILTER (o_orderkey % 3 <> 0) * 100.0::DOUBLE / count(*) AS p FROM orders)")
 def boolean_null_anomalies(spark, sf_dir):
-    return r(Q.boolean_null_anomalies(table(spark, sf_dir, "orders").selectExpr(*_split(_FLAGS))), "percentage", places=9)
+    return r(Q.boolean_null_anomalies(table(spark, sf_dir, "orders").selectExpr(*_split(_NULL_FLAGS))), "percentage", places=9)
 
 
 @query("SELECT 'performance_bottleneck' AS type, 'clean' AS field, 'medium' AS severity, 'clean took 6.00 of 10.00 s' AS description, 'medium' AS business_impact, CAST(0 AS BIGINT) AS affected_records, 60.0::DOUBLE AS percentage")
