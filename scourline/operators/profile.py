@@ -49,14 +49,15 @@ def _each(columns: list[str], make) -> list[Column]:
     return [v.alias(f"{i}_{k}") for i, c in enumerate(columns) for k, v in make(_col(c)).items()]
 
 
-WIDTH = 24  # expressions of one aggregate
+WIDTH = 24  # expressions of one aggregate of many sums or brackets
+MEASURES = 120  # expressions of one aggregate of plain measures, which took no harm up to 90
 
 
 def _measured(df: DataFrame, columns: list[str], make, fields: dict[str, str]) -> DataFrame:
     """One row per column, from aggregates of some columns each; no row without columns."""
     if not columns:
         return df.sparkSession.createDataFrame([], ", ".join(["column string", *(f"{k} {t}" for k, t in fields.items())]))
-    step = max(1, WIDTH // len(fields))
+    step = max(1, MEASURES // len(fields))
     cuts = [columns[i : i + step] for i in range(0, len(columns), step)]
     return reduce(DataFrame.union, [_long(df.agg(*_each(cut, make)), cut, fields) for cut in cuts])
 
