@@ -296,8 +296,8 @@ def _apart(f: np.ndarray, g: np.ndarray, a, b) -> np.ndarray:
 
 
 def _meet_wide(most: int):
-    """Like ``_meet`` for rows (place, node, f, g) sorted by place: (family, node) for whatever links over two fingerprints
-    connect.
+    """Like ``_meet`` for rows (place, node, f, g) sorted by place: (family, low, node) for whatever links over two
+    fingerprints connect; low is the family's least node.
 
     Such links only say who may be alike, so all members of a family stay; families of the same members have one name.
     """
@@ -337,8 +337,10 @@ def _meet_wide(most: int):
                     if len(members) > 1:
                         own = np.sort(np.concatenate(members).view(np.int64))
                         found[xxhash.xxh64_intdigest(own.tobytes())] = own
-            names = np.repeat(np.array(list(found), np.uint64).view(np.int64), [len(x) for x in found.values()])
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([np.zeros(0, np.int64), *found.values()]))], ["family", "node"])
+            sizes = [len(x) for x in found.values()]
+            names = np.repeat(np.array(list(found), np.uint64).view(np.int64), sizes)
+            lows = np.repeat(np.array([x[0] for x in found.values()], np.int64), sizes)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(lows), pa.array(np.concatenate([np.zeros(0, np.int64), *found.values()]))], ["family", "low", "node"])
 
         for b in batches:
             if not b.num_rows:
@@ -552,13 +554,34 @@ def _crowd_edges(members: DataFrame, crowded: DataFrame, calm: DataFrame, least:
     return within.union(_in_order(both, "run").mapInArrow(_compare(lambda t: _between(t, least)), _EDGES))
 
 
+def _merged(families: DataFrame, most: int) -> DataFrame:
+    """(family, node): families (family, low, node) that share members are one, if they have ``most`` members at most
+    together; the others stay as they are. ``low`` is any member of a family, the same in all its rows.
+
+    A dense group meets in all its blocks, each time without some of its members. Merged, a member is one row instead of up
+    to 64, a pair is compared once, and whoever met still meets.
+    """
+    lows = keep(families.groupBy("node").agg(F.collect_set("low").alias("lows")), "lows")  # a member's blocks at most
+    least = F.array_min("lows").alias("v")
+    star = stars(lows.select(F.col("node").alias("u"), least).union(lows.select(F.explode("lows").alias("u"), least)))
+    rooted = keep(lows.select("node").join(star, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root")), "rooted")
+    sizes = keep(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("root"), "apart")
+    large = F.broadcast(sizes)  # few: one for each ``most`` nodes at most
+    whole = rooted.join(large, "root", "left_anti").select(F.xxhash64(F.lit(2), "root").alias("family"), "node")
+    if sizes.isEmpty():
+        return whole
+    apart = rooted.join(large, "root", "left_semi").select("node")
+    return whole.union(families.select("family", "node").join(apart.hint("merge"), "node", "left_semi").select("family", "node"))
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(distinct, star): groups of similar texts.
 
     ``distinct`` has a row (node, id, mark, fps, few) for each distinct 1024-bit fingerprint: a number of its own, and the
     least id of its texts with a hash of that text. ``star`` maps every node but one of each group to that one (a, b).
 
-    Fingerprints meet in 64 blocks of 16 bits; what a Hamming check over 128 bits connects there is a family. Within a
+    Fingerprints meet in 64 blocks of 16 bits; what a Hamming check over 128 bits connects there is a family. Families that
+    share members are merged up to half a crowd, so that most texts are in one and not in 64, see ``_merged``. Within a
     family all pairs are compared over all 1024 bits, and links that are certain join members; members with links too close
     to ``least`` for that meet again with their shingles. At a similarity of 0.8 two texts share a block with probability
     0.99, at 0.85 with 0.9997.
@@ -587,11 +610,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     some = [not x.isEmpty() for x in hot]
     named = [x.select("place", F.xxhash64(F.lit(i), "place").alias("family"), "n") for i, x in enumerate(hot)]
     calm = [x.join(F.broadcast(h.select("place")), "place", "left_anti") if s else x for x, h, s in zip((filed, shared), hot, some)]
-    met = _in_order(calm[0].select("place", "node", "f", "g"), "place").mapInArrow(_meet_wide(radius_of(least, 3.1, 2 * BITS - SLOT)), "family bigint, node bigint")
+    met = _in_order(calm[0].select("place", "node", "f", "g"), "place").mapInArrow(_meet_wide(radius_of(least, 3.1, 2 * BITS - SLOT)), "family bigint, low bigint, node bigint")
     sharing = calm[1].groupBy("place").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
-    families = keep(met.union(sharing.select(F.xxhash64("nodes").alias("family"), F.explode("nodes").alias("node"))).distinct(), "families")
+    # Nodes of the latter are inverted until the merging: bits don't tell whether a text of few shingles is like a longer one.
+    inverted = sharing.select(F.xxhash64("nodes").alias("family"), F.bitwise_not(F.col("nodes")[0]).alias("low"), F.explode(F.transform("nodes", F.bitwise_not)).alias("node"))
+    families = keep(met.union(inverted).distinct(), "families")
     texts = distinct.select("node", "fps", "few")
-    members = families.join(texts, "node").select("family", "node", "fps", "few")
+    merged = _merged(families, max(1, crowd // 2)).withColumn("node", F.greatest("node", F.bitwise_not("node")))
+    members = merged.join(texts, "node").select("family", "node", "fps", "few")
     near = _in_order(members, "family").mapInArrow(_compare(lambda t: _alike(t, least, True)), _EDGES)
     if any(some):
         near = keep(near, "calm")

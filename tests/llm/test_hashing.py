@@ -170,6 +170,23 @@ def test_near_copies_among_documents_of_one_template(spark, make, templates, eac
     assert len(texts) - len(got) >= 0.98 * (len(texts) - len(want))
 
 
+@pytest.mark.parametrize("crowd, rows", [(simhash.CROWD, 1), (100, 64)])
+def test_rows_of_a_group_grow_no_faster_than_its_members(spark, make, monkeypatch, crowd, rows):
+    """Members that meet in many blocks are compared once; a group too large for that has a row for each block at most."""
+    rng = random.Random(31)
+    base = [f"b{rng.getrandbits(40)}" for _ in range(400)]
+    texts = [" ".join(changed(rng, base, rng.randint(3, 9))) for _ in range(200)]
+    dealt, in_order = [], simhash._in_order
+    monkeypatch.setattr(simhash, "_in_order", lambda df, key: (dealt.append((key, df)), in_order(df, key))[1])
+    got = {}
+    for n in (100, 200):
+        dealt.clear()
+        got[n] = {r["doc_id"] for r in simhash.deduplicate(make(texts[:n]), crowd=crowd).collect()}
+        assert got[n] == brute_groups(texts[:n])
+        made = {key: df.count() for key, df in dealt if key == "family" or (key == "run" and crowd > n)}
+        assert 0 < made["family"] <= rows * n and made.get("run", 0) <= n
+
+
 def test_near_copies_of_pairs(spark, make):
     rng = random.Random(21)
     texts = []
